@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
-from graphloom.llm import exact_dedup, simhash
+import corpus_pipeline
+from graphloom.llm import decontaminate, exact_dedup, language_id, pieces, simhash, token_binary, url_filter, warc
 from graphloom.session import read_table
 
 
@@ -16,7 +18,40 @@ def op2_simhash(spark, sf_dir):
     return simhash.simhash_groups(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_simhash)}
+def op3_language_id(spark, sf_dir):
+    return language_id.identify(read_table(spark, sf_dir, "documents"))
+
+
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op6_token_binary(spark, sf_dir):
+    manifest, _ = token_binary.write_tokens(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+    return token_binary.read_tokens(manifest)
+
+
+def op8_url_filter(spark, sf_dir):
+    return url_filter.judge(read_table(spark, sf_dir, "pages"))
+
+
+def op9_sentencepiece(spark, sf_dir):
+    """Encodes every text, decodes the ids, and digests both."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    ids = pieces.encode_documents(read_table(spark, sf_dir, "documents"), model)
+    digests = ids.select("doc_id", "ids").withColumns({"n_pieces": (F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")})
+    return pieces.decode_column(digests, model).select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op10_warc(spark, sf_dir):
+    pages = warc.read_archives(warc.write_archives(read_table(spark, sf_dir, "pages")), payload=False)
+    return pages.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_exact_dedup, op2_simhash, op3_language_id, op5_decontaminate, op6_token_binary, op8_url_filter, op9_sentencepiece, op10_warc)
+} | {"pipeline": corpus_pipeline.run}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -31,6 +66,18 @@ SQL = {
                text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op10_warc": """
+        WITH p AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
+            FROM pages
+        ), f AS (
+            SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
+        )
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+        FROM f
+    """,
 }
 
 

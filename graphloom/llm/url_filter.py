@@ -1,0 +1,183 @@
+"""URL filters: rules first, then logistic regression on character n-grams.
+
+A URL's host and path are cut out with native expressions. A rule is a host and
+a path prefix; it fits the host and its subdomains, and the longest fitting rule
+decides. URLs without a rule are judged by a logistic regression on hashed
+character n-grams of host and path, trained here on a small labelled table by
+full-batch gradient descent, which gives the same weights on every run.
+
+Defined results: a null URL, or one without ``://``, has an empty host and path,
+fits no rule and is judged like any other; a null id is carried along; an empty
+table gives no rows; the result has the id and its own columns only.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+# The rules of the production query, as (verdict, host, path).
+RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
+# The labelled table, one URL a line without its scheme.
+BLOCKED = """
+best-casino-bonus.example/slots/free-spins
+online-poker-room.test/casino/jackpot
+betting-odds-live.invalid/bet/football
+mega-slots.example/casino/vegas-slots
+free-casino.test/bonus/poker
+sports-bet.example/betting/odds
+xxx-videos.example/porn/free
+adult-porn-tube.test/xxx/videos
+hot-sex-cams.invalid/adult/live
+nude-cams.example/sex/adult
+free-porn.test/videos/xxx
+escort-adult.example/sex/dating
+cheap-viagra.example/pills/buy-now
+buy-cialis-online.test/pharmacy/viagra
+diet-pills.invalid/buy/weight-loss
+online-pharmacy.example/cheap/pills
+payday-loans.test/cheap/cash-now
+fast-cash-loan.example/payday/apply
+free-download-crack.test/keygen/serial
+warez-torrent.example/crack/full-version
+torrent-movies.invalid/download/free-torrent
+keygen-crack.example/serial/download
+login-verify-account.test/secure/update-password
+account-suspended.example/verify/login
+secure-bank-login.invalid/verify/account
+win-free-iphone.test/prize/claim
+lottery-winner.example/claim/prize
+click-ads-popup.test/ad/redirect
+ad-tracker.example/click/redirect
+popup-ads.invalid/banner/click
+replica-watches.example/cheap/rolex
+cheap-replica-bags.test/buy/outlet
+spam-links.example/seo/backlinks
+buy-backlinks.test/seo/cheap
+hack-tools.invalid/malware/exploit
+malware-download.example/exploit/virus
+""".split()
+ALLOWED = """
+www.city-library.example/catalogue/books
+news.daily-post.example/en/2021/article
+blog.garden.example/en/how-to-grow-roses
+www.university.test/research/papers
+physics.university.test/courses/mechanics
+docs.software.example/en/guide/install
+wiki.community.example/wiki/History
+en.encyclopedia.test/wiki/Mathematics
+www.museum.example/fr/collection
+recipes.kitchen.example/soup/tomato
+www.weather.test/de/forecast
+health.institute.example/guidance/nutrition
+www.parliament.test/bills/2020
+court.records.example/decisions/12345
+forum.linux.example/questions/8812
+help.editor.example/en/faq
+www.travel-notes.example/es/madrid
+blog.science.test/2019/05/stars
+journal.biology.example/articles/7781.html
+www.school.example/timetable
+data.statistics.test/tables/population
+m.news-paper.example/fr/monde/21345
+www.theatre.example/de/programm
+shop.bookstore.example/history/books
+support.phone.example/manual/1024
+www.railway.test/timetable/stations
+blog.photos.example/en/20334.html
+m.recipes.example/en/7751?page=2
+www.orchestra.example/concerts
+archive.letters.example/1890/index.html
+www.football-club.example/results/season
+code.project.example/source/readme
+podcast.history.example/episodes/42
+www.charity.example/about/report
+maps.county.example/roads/5521
+www.observatory.test/en/images/moon
+""".split()
+
+
+def host(url: Column) -> Column:
+    return F.translate(F.coalesce(F.regexp_extract(url, PARTS, 1), F.lit("")), UPPER, LOWER)
+
+
+def path(url: Column) -> Column:
+    return F.coalesce(F.regexp_extract(url, PARTS, 2), F.lit(""))
+
+
+def best_rule(h: Column, p: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
+    """struct(rule, verdict) of the longest rule that fits, else null."""
+    out = F.lit(None).cast("struct<rule:string,verdict:string>")
+    for verdict, rule_host, rule_path in sorted(rules, key=lambda r: len(r[1] + r[2])):
+        fits = ((h == rule_host) | h.endswith(f".{rule_host}")) & p.startswith(rule_path)
+        out = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(verdict).alias("verdict"))).otherwise(out)
+    return out
+
+
+def features(h: str, p: str, sizes: Sequence[int] = (3, 4, 5), bits: int = 16) -> np.ndarray:
+    """Slots of the n-grams of ``^host$`` and ``^path$``, host and path apart."""
+    mask = (1 << bits) - 1
+    out = set()
+    for kind, text in ((b"h", f"^{h}$"), (b"p", f"^{p}$")):
+        raw = text.encode("utf-8", "surrogatepass")
+        for n in sizes:
+            for i in range(len(raw) - n + 1):
+                out.add(zlib.crc32(raw[i : i + n], zlib.crc32(kind)) & mask)
+    return np.fromiter(out, np.int64, len(out))
+
+
+def split_url(url: str) -> tuple[str, str]:
+    """Host and path of a labelled URL without scheme."""
+    h, slash, p = url.partition("/")
+    return h.lower(), slash + p.partition("?")[0].partition("#")[0]
+
+
+def train(labelled: Sequence[tuple[str, int]], bits: int = 16, rounds: int = 400, rate: float = 2.0, decay: float = 1e-3) -> np.ndarray:
+    """Weights and, last, the bias; label 1 means block."""
+    rows = [features(*split_url(u), bits=bits) for u, _ in labelled]
+    y = np.array([l for _, l in labelled], float)
+    w = np.zeros((1 << bits) + 1)
+    scale = np.array([1 / max(1, len(r)) ** 0.5 for r in rows])
+    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    for _ in range(rounds if rows else 0):
+        z = np.bincount(owner, w[flat] * scale[owner], len(rows)) + w[-1]
+        g = (1 / (1 + np.exp(-z)) - y) / len(rows)
+        w[:-1] -= rate * (np.bincount(flat, (g * scale)[owner], 1 << bits) + decay * w[:-1])
+        w[-1] -= rate * g.sum()
+    return w
+
+
+def default_labels() -> list[tuple[str, int]]:
+    return [(u, 1) for u in BLOCKED] + [(u, 0) for u in ALLOWED]
+
+
+def score(w: np.ndarray, h: str, p: str) -> float:
+    """Probability that the URL is to be blocked."""
+    f = features(h, p, bits=(len(w) - 1).bit_length() - 1)
+    z = w[f].sum() / max(1, len(f)) ** 0.5 + w[-1]
+    return float(1 / (1 + np.exp(-z)))
+
+
+def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, labelled: Sequence[tuple[str, int]] | None = None, threshold: float = 0.5) -> DataFrame:
+    """(id, host, path, rule, verdict, score) for every row.
+
+    The weights are 2**16 numbers, whatever the input.
+    """
+    weights = pages.sparkSession.sparkContext.broadcast(train(default_labels() if labelled is None else labelled))
+
+    @F.pandas_udf("double")
+    def blocked(h: pd.Series, p: pd.Series) -> pd.Series:
+        return pd.Series([score(weights.value, a, b) for a, b in zip(h, p)], dtype=float)
+
+    rows = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
+    rows = rows.select(id_col, "host", "path", best_rule(F.col("host"), F.col("path"), rules).alias("__r"), blocked("host", "path").alias("score"))
+    by_model = F.when(F.col("score") >= threshold, F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select(id_col, "host", "path", F.col("__r.rule").alias("rule"), F.coalesce("__r.verdict", by_model).alias("verdict"), "score")
