@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, exact_dedup, language_id, pieces, simhash, token_binary, url_filter, warc
+from graphloom.llm import decontaminate, exact_dedup, kneser_ney, language_id, pieces, simhash, token_binary, url_filter, warc
 from graphloom.session import read_table
 
 
@@ -31,6 +31,11 @@ def op6_token_binary(spark, sf_dir):
     return token_binary.read_tokens(manifest)
 
 
+def op7_kneser_ney(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    return kneser_ney.score_documents(docs, kneser_ney.train(docs))
+
+
 def op8_url_filter(spark, sf_dir):
     return url_filter.judge(read_table(spark, sf_dir, "pages"))
 
@@ -50,7 +55,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_simhash, op3_language_id, op5_decontaminate, op6_token_binary, op8_url_filter, op9_sentencepiece, op10_warc)
+    for f in (op1_exact_dedup, op2_simhash, op3_language_id, op5_decontaminate, op6_token_binary, op7_kneser_ney, op8_url_filter, op9_sentencepiece, op10_warc)
 } | {"pipeline": corpus_pipeline.run}
 
 SQL = {
