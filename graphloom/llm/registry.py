@@ -6,7 +6,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import decontaminate, exact_dedup, kneser_ney, language_id, pieces, simhash, token_binary, url_filter, warc
+from graphloom.llm import decontaminate, exact_dedup, kneser_ney, language_id, pieces, simhash, substring_dedup, token_binary, url_filter, warc
 from graphloom.session import read_table
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark, sf_dir):
     return language_id.identify(read_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark, sf_dir):
+    return substring_dedup.substring_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +59,7 @@ def op10_warc(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_exact_dedup, op2_simhash, op3_language_id, op5_decontaminate, op6_token_binary, op7_kneser_ney, op8_url_filter, op9_sentencepiece, op10_warc)
+    for f in (op1_exact_dedup, op2_simhash, op3_language_id, op4_substring_dedup, op5_decontaminate, op6_token_binary, op7_kneser_ney, op8_url_filter, op9_sentencepiece, op10_warc)
 } | {"pipeline": corpus_pipeline.run}
 
 SQL = {
@@ -71,6 +75,30 @@ SQL = {
                text_sha256
         FROM d WINDOW w AS (PARTITION BY text_sha256)
     """,
+    "op4_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, [x FOR x IN regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w
+            FROM documents
+        ), n AS (
+            SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, w FROM d WHERE len(w) >= 50
+        ), s AS (
+            SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM n
+        ), f AS (
+            SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS first_id FROM s
+        ), g AS (
+            SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS k FROM f WHERE first_id < doc_id
+        ), r AS (
+            SELECT doc_id, list(k) AS gone FROM g GROUP BY doc_id
+        ), k AS (
+            SELECT d.doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+                   CASE WHEN gone IS NULL THEN w
+                        ELSE [w[x] FOR x IN range(1, len(w) + 1) IF NOT list_contains(gone, x)] END AS kept
+            FROM d LEFT JOIN r USING (doc_id)
+        )
+        SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+               sha256(array_to_string(kept, ' ')) AS kept_sha256
+        FROM k
+    """,
     "op10_warc": """
         WITH p AS (
             SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest
