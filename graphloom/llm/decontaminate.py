@@ -40,7 +40,7 @@ _words: dict[str, int] = {}
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the text's tokens."""
-    if len(_words) > 1_000_000:
+    if len(_words) > 400_000:
         _words.clear()
     found = WORD.findall((text or "").lower())
     try:

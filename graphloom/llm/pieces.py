@@ -69,7 +69,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Pieces of a model file, and encoding and decoding with them."""
 
-    def __init__(self, path: str, max_segments: int = 1_000_000, max_segment: int = 48):
+    def __init__(self, path: str, max_segments: int = 400_000, max_segment: int = 48):
         self.pieces: list[tuple[str, float, int]] = []
         self.kind = UNIGRAM
         with open(path, "rb") as f:
@@ -150,7 +150,7 @@ class PieceModel:
     def _agree(self, a: int, b: int) -> bool:
         out = self.agrees.get((a, b))
         if out is None:
-            if len(self.agrees) > 2_000_000:
+            if len(self.agrees) > 300_000:
                 self.agrees.clear()
             out = self.agrees[a, b] = self._stable(a, b)
         return out
