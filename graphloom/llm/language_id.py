@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 BLOCK = 256
 GAP, OTHER, FIRST = 0, 1, 2
 MAX_SYMBOLS = 61
-COUNTED = np.uint32(1 << 31)
+PHRASE = np.uint32(1 << 30)  # phrases that end, above the bits of the state
 
 
 class SuffixAutomaton:
@@ -72,7 +72,8 @@ class SuffixAutomaton:
             last = cur
 
     def parse_table(self, n_symbols: int) -> np.ndarray:
-        """For state and symbol the state after it, marked where a phrase ends.
+        """For state and symbol the state after it, and the phrases that end: the
+        open one if it cannot go on, and the symbol's own if it was never seen.
 
         Symbol ``n_symbols`` is padding: it ends an open phrase.
         """
@@ -80,14 +81,14 @@ class SuffixAutomaton:
         start = np.zeros(n_symbols + 1, np.uint32)
         for c, s in self.next[0].items():
             start[c] = s
-        start[:n_symbols][start[:n_symbols] == 0] = COUNTED  # a symbol never seen is a phrase of its own
+        start[:n_symbols][start[:n_symbols] == 0] = PHRASE
         for s, edges in enumerate(self.next):
             if s:
-                table[s] = start | COUNTED
+                table[s] = start + PHRASE
                 for c, t in edges.items():
                     table[s, c] = t
         table[0] = start
-        table[1:, n_symbols] = COUNTED
+        table[1:, n_symbols] = PHRASE
         return table
 
 
@@ -154,8 +155,8 @@ class CrossParser:
                 count = np.zeros(len(a), np.int64)
                 for row in grid:
                     v = table[base + state * width + row]
-                    count += v >> 31
-                    state = (v & np.uint32(0x7FFFFFFF)).astype(np.int64)
+                    count += v >> 30
+                    state = (v & (PHRASE - np.uint32(1))).astype(np.int64)
                 phrases[k] += np.bincount(o, count, len(texts))
         bits = phrases * np.array(self.log_sizes)[:, None] / np.maximum(sizes, 1)[None, :]
         return bits.T, has
