@@ -18,7 +18,7 @@ def is_pruned(path: Column) -> Column:
 def read_sources(spark: SparkSession, root: str, glob: str = "*.rs") -> DataFrame:
     """(path, content, size, last_modified) below a folder, pruned folders left out.
 
-    Paths are relative to the folder.
+    Paths are relative to the folder. Spark's readers skip empty files.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     base = root.rstrip("/").removeprefix("file://")

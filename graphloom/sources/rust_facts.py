@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-SYMBOL = re.compile(r"^[ \t]*(pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|unsafe|const|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*(fn|struct|enum|trait|mod|const|static|type|impl)\b[ \t]*([^\n{;(]*)", re.M)
+SYMBOL = re.compile(r"(?:^|(?<=[{};]))[ \t]*(pub(?:\([^)]*\))?[ \t]+)?(?:(?:async|unsafe|const|extern(?:[ \t]+\"[^\"]*\")?)[ \t]+)*(fn|struct|enum|trait|mod|const|static|type|impl)\b[ \t]*([^\n{;(]*)", re.M)
 USE = re.compile(r"^[ \t]*(pub(?:\([^)]*\))?[ \t]+)?use[ \t]+([^;]+);", re.M)
 CALL = re.compile(r"(?<![\w!])((?:\w+::)*\w+)\s*\(")
 # Words before a parenthesis that are no calls.
