@@ -28,28 +28,20 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.hashing import WordHashes
+
 # The masks, of span 12 and weight 8.
 MASKS = ("111011010011", "110100110111", "101110011101", "111101101010")
 WORD = re.compile(r"\w+")
-_words: dict[str, int] = {}
+_words = WordHashes(400_000)
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the text's tokens."""
-    if len(_words) > 400_000:
-        _words.clear()
-    found = WORD.findall((text or "").lower())
-    try:
-        return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
-    except KeyError:
-        for w in set(found):
-            if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(_words.__getitem__, found), np.uint64, len(found))
+    return _words.of(WORD.findall((text or "").lower()))
 
 
 def seeds(t: np.ndarray, mask: str) -> np.ndarray:

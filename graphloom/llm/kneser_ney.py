@@ -46,12 +46,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import open_file, write_file
+from graphloom.llm.hashing import WordHashes
 from graphloom.llm.language_id import remainder
 from graphloom.session import materialize, new_path
 
@@ -70,24 +70,12 @@ def mix(a: np.ndarray, b) -> np.ndarray:
     return x ^ (x >> U64(32))
 
 
-_words: dict[bytes, int] = {}
+_words = WordHashes(600_000, shift=16, least=3)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
     """48-bit hashes of the text's tokens, the end token last."""
-    if len(_words) > 1_500_000:
-        _words.clear()
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    out = np.empty(len(words) + 1, U64)
-    try:
-        out[:-1] = np.fromiter(map(_words.__getitem__, words), U64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in _words:
-                _words[w] = max(3, xxhash.xxh64_intdigest(w) >> 16)
-        out[:-1] = np.fromiter(map(_words.__getitem__, words), U64, len(words))
-    out[-1] = END
-    return out
+    return np.append(_words.of((text or "").encode("utf-8", "surrogatepass").lower().split()), END)
 
 
 def groups_of(texts: list[str | None], tokens: int = 400_000) -> Iterator[list[np.ndarray]]:
