@@ -49,8 +49,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_dir(spark)}/graphloom/{label}-{uuid.uuid4().hex}"
+    """A fresh path under the application's part of the shared folder."""
+    return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def work_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/graphloom/{spark.sparkContext.applicationId}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete all that this application has put into the shared folder.
+
+    Results that are not written elsewhere yet still read from there.
+    """
+    remove_path(spark, work_dir(spark))
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
