@@ -38,15 +38,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     return top_k(pairs.select("query_id", "id", score.alias("score")), k)
 
 
-def overlap_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block_col: str | None = None, blocks: int = 16) -> DataFrame:
+def overlap_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block_col: str | None = None, block_rows: int = 2000) -> DataFrame:
     """(id_a, id_b, score): pairs with cosine at or above the threshold.
 
-    Ids are dealt to ``blocks`` blocks, and every pair of blocks is a group of
-    its own, so the comparison spreads over blocks * (blocks + 1) / 2 tasks and
-    no task holds more than two blocks. With ``block_col`` only rows that differ in it
+    Ids are dealt to blocks of about ``block_rows`` rows, and every pair of blocks
+    is a group of its own, so no task needs more than two blocks at a time and
+    the work, quadratic as it is, spreads over all tasks. With ``block_col`` only rows that differ in it
     pair. Rows with equal vectors pair like any others.
     """
     cols = [F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")] + ([F.col(block_col).alias("b")] if block_col else [])
+    blocks = max(8, -(-vectors.count() // block_rows))
     rows = vectors.select(*cols).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
     left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("k <= o").withColumnsRenamed({c: f"{c}_a" for c in rows.columns})
     right = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("p <= k").withColumnsRenamed({c: f"{c}_b" for c in rows.columns})
