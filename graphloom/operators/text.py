@@ -35,21 +35,6 @@ def snippet(text: Column, first_line: Column, lines: int = 5, max_bytes: int = 4
     return F.substring(F.array_join(F.slice(F.split(text, "\n"), first_line, F.lit(lines)), "\n"), 1, max_bytes)
 
 
-def with_neighbours(chunks: DataFrame, group: str, order: str, text: str, share: float = 0.2) -> DataFrame:
-    """Chunks with the end of the chunk before and the start of the one after.
-
-    ``overlap_prev`` has the tail of the previous chunk and ``overlap_next`` the
-    head of the next, each that share of the neighbour's characters, 0.5 at most.
-    """
-    share = min(max(share, 0.0), 0.5)
-    w = Window.partitionBy(group).orderBy(order)
-    prev, nxt = F.lag(text).over(w), F.lead(text).over(w)
-    take = lambda t: F.floor(F.length(t) * share).cast("int")
-    # "end" of a text counts from its last character back
-    tail = F.substring(prev, F.length(prev) - take(prev) + 1, take(prev))
-    return chunks.withColumns({"overlap_prev": tail, "overlap_next": F.substring(nxt, F.lit(1), take(nxt))})
-
-
 def _count(line: Column, needle: str) -> Column:
     return ((F.length(line) - F.length(F.replace(line, F.lit(needle), F.lit("")))) / len(needle)).cast("long")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions import chunking
 from graphloom.functions.identity import node_id
 from graphloom.operators import incremental, relations, search, spans, surface, text, traverse, vector
 from graphloom.operators.graph import Graph, page
@@ -517,16 +518,24 @@ def line_offsets(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT conv_id, turn, lag(text) OVER o AS p, lead(text) OVER o AS n FROM conversations WINDOW o AS (PARTITION BY conv_id ORDER BY turn))
-    SELECT conv_id, turn, CASE WHEN p IS NULL THEN NULL ELSE substr(p, length(p) - CAST(floor(length(p) * 0.2) AS BIGINT) + 1) END AS overlap_prev,
-           substr(n, 1, CAST(floor(length(n) * 0.2) AS BIGINT)) AS overlap_next FROM w""",
+    """WITH l AS (SELECT conv_id, turn, CASE WHEN text = '' THEN [] ELSE string_split(regexp_replace(text, chr(10) || '$', ''), chr(10)) END AS ls FROM conversations),
+    w AS (SELECT *, lag(ls) OVER o AS p, lead(1) OVER o AS n FROM l WINDOW o AS (PARTITION BY conv_id ORDER BY turn)),
+    c AS (SELECT *, CAST(ceil(len(ls) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS k, CAST(ceil(len(p) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS m FROM w)
+    SELECT conv_id, turn, CASE WHEN m > 0 THEN array_to_string(p[1:m], chr(10)) END AS overlap_prev,
+           CASE WHEN n = 1 AND k > 0 THEN array_to_string(ls[len(ls) - k + 1:], chr(10)) END AS overlap_next FROM c""",
     on_graph=False,
 )
 def chunk_overlap(spark, sf_dir):
-    rows = text.with_neighbours(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text", 0.2)
+    rows = chunking.overlap(read_table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
     return rows.select("conv_id", "turn", "overlap_prev", "overlap_next")
 
 
+@query("SELECT source, CAST(sum(greatest(1, ceil(octet_length(encode(text)) / 4.0))) AS BIGINT) AS tokens, count(*) AS chunks FROM documents GROUP BY 1", on_graph=False)
+def token_estimates(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "documents").select("source", chunking.estimated_tokens(F.col("text")).alias("n"))
+    return rows.groupBy("source").agg(F.sum("n").alias("tokens"), F.count("*").alias("chunks"))
+
+
 def _occurrences(needle: str) -> str:
     return f"CAST((length(html) - length(replace(html, '{needle}', ''))) // {len(needle)} AS BIGINT)"
 

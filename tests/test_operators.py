@@ -132,8 +132,6 @@ def test_text(spark):
     assert (c["lines"], c["non_empty"], c["n_fn"], c["cyclomatic"], c["per_function"]) == (6, 5, 1, 0, 0.0)
     line = d.where("doc_id = 1").select(text.line_of_byte(F.col("text"), F.lit(7)), text.snippet(F.col("text"), F.lit(2), 2)).first()
     assert tuple(line) == (4, "bé\n")
-    n = spark.createDataFrame([(1, 1, "abcdefghij"), (1, 2, "klmnopqrst"), (2, 1, "x")], "g long, o long, t string")
-    assert rows(text.with_neighbours(n, "g", "o", "t"), "g", "o", "overlap_prev", "overlap_next")[:2] == [(1, 1, None, "kl"), (1, 2, "ij", None)]
 
 
 def test_state(spark):
