@@ -83,7 +83,7 @@ def parse_record(raw: bytes) -> dict:
         name, colon, value = line.partition(":")
         if not colon:
             raise ArchiveError(f"malformed header {line[:40]!r}")
-        headers[name] = value.strip()
+        headers[name] = value.removeprefix(" ")
     if missing := [h for h in REQUIRED if h not in headers]:
         raise ArchiveError(f"missing headers: {missing}")
     if not headers["Content-Length"].isdigit():
