@@ -4,11 +4,11 @@ A window is ``window`` consecutive words. Of every word sequence that fills a
 window somewhere, the occurrences in the document with the least id stay, and the
 words of all occurrences in other documents go.
 
-Candidates. In every window the ``gram``-word sequence with the least hash is an
-anchor, so equal windows have equal anchors at equal places. Anchors found in one
-document only are dropped after an aggregation over their hashes; a document
-without other anchors is never moved. Around each remaining anchor lies its
-context: all windows that hold it. Equal contexts are combined before they are
+Candidates. In every window the ``gram``-word sequence with the least hash, the
+leftmost of equals, is its anchor, so equal windows have equal anchors at equal
+places. Anchors found in one document only are dropped after an aggregation over
+their hashes; a document without other anchors is never moved. Around each
+remaining anchor lies its context: all windows whose anchor it is. Equal contexts are combined before they are
 shuffled and keep the least id. Contexts go to shards by their anchor. If an anchor
 has more than ``max_contexts`` different contexts, as at the edge of a passage that
 very many documents share, each window of these becomes a context of its own and
@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -40,30 +41,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.hashing import WordHashes
 from graphloom.session import materialize
 
 U64 = np.uint64
 DEPTH = 64
+BELOW = (U64(1) << np.arange(64, dtype=U64)) - U64(1)
 NO_ID = (1 << 63) - 1
-_words: dict[bytes, int] = {}
+_words = WordHashes(600_000)
 
 
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_words) > 1_000_000:
-        _words.clear()
-    try:
-        return np.fromiter(map(_words.__getitem__, words), U64, len(words))
-    except KeyError:
-        for w in set(words):
-            if w not in _words:
-                _words[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter(map(_words.__getitem__, words), U64, len(words))
-
-
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = (a * U64(0x9E3779B97F4A7C15)) ^ (b + U64(0xC2B2AE3D27D4EB4F))
     x = (x ^ (x >> U64(31))) * U64(0xD6E8FEB86659FD93)
@@ -96,17 +87,24 @@ def _slide(x: np.ndarray, size: int, f) -> np.ndarray:
     return x if step == size else f(x[: len(x) - (size - step)], x[size - step :])
 
 
-def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the grams that are least in some window."""
+def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(places, hashes, first, last) of the grams that are the leftmost least of
+    some window; first and last are the outermost of those windows."""
     if len(h) < window:
-        return np.zeros(0, np.int64), np.zeros(0, U64)
+        return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = gram_hashes(h, gram)
     span = window - gram + 1
     least = _slide(g, span, np.minimum)  # by window
     edge = np.zeros(span - 1, U64)
     most = _slide(np.concatenate([edge, least, edge]), span, np.maximum)
     at = np.flatnonzero(g == most[: len(g)])
-    return at, g[at]
+    which = np.searchsorted(at, np.arange(len(least)))
+    while len(off := np.flatnonzero(g[at[which]] != least)):
+        which[off] += 1
+    # the leftmost least place never moves back from one window to the next
+    first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
+    at = at[which[first]]
+    return at, g[at], first, np.append(first[1:], len(least)) - 1
 
 
 class WaveletMatrix:
@@ -121,16 +119,16 @@ class WaveletMatrix:
             packed = np.packbits(np.concatenate([b, np.zeros(-len(b) % 64 + 64, np.uint8)]), bitorder="little").view("<u8")
             self.bits.append(packed)
             self.ones.append(np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32))
-            self.zeros.append(len(b) - int(b.sum()))
+            self.zeros.append(np.int32(len(b) - int(b.sum())))
             s = np.concatenate([s[b == 0], s[b == 1]])
         self.first = self.forward(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
 
     def forward(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
+        i = i.astype(np.int32)
         for k in range(self.levels):
             word = i >> 6
-            inside = self.bits[k][word] & ((U64(1) << (i & 63).astype(U64)) - U64(1))
-            ones = self.ones[k][word] + np.bitwise_count(inside)
-            i = np.where((c >> (self.levels - 1 - k)) & 1, self.zeros[k] + ones, i - ones)
+            ones = self.ones[k][word] + np.bitwise_count(self.bits[k][word] & BELOW[i & 63])
+            i = np.where(c & (1 << (self.levels - 1 - k)), ones + self.zeros[k], i - ones)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -258,7 +256,7 @@ def _scan(window: int, gram: int):
             n, sha, hs, ps = [], [], [], []
             for t in b.column(2).to_pylist():
                 words = split_words(t)
-                at, h = anchors(word_hashes(words), window, gram)
+                at, h, _, _ = anchors(_words.of(words), window, gram)
                 n.append(len(words))
                 sha.append(hashlib.sha256(b" ".join(words)).digest())
                 hs.append(h.view(np.int64))
@@ -281,11 +279,10 @@ def _contexts(window: int, gram: int, text: bool):
                 out: dict = {}
                 for k, (i, rid, t, places) in enumerate(zip(*(some.column(c).to_pylist() for c in range(4)))):
                     words = split_words(t)
-                    g = gram_hashes(word_hashes(words), gram).view(np.int64)
-                    for p in places:
-                        lo = max(0, p - window + gram)
-                        ctx = b" ".join(words[lo : p + window])
-                        h = int(g[p])
+                    found = anchors(_words.of(words), window, gram)
+                    for j in np.searchsorted(found[0], np.sort(places)).tolist():
+                        p, h, lo = int(found[0][j]), int(found[1][j].view(np.int64)), int(found[2][j])
+                        ctx = b" ".join(words[lo : int(found[3][j]) + window])
                         c = xxhash.xxh3_128_digest(ctx + h.to_bytes(8, "little", signed=True))
                         if text:
                             least = NO_ID if i is None else i
@@ -320,9 +317,14 @@ def _windows(window: int):
 
 def least_owners(texts: list[bytes], least: list[int], window: int) -> list[np.ndarray]:
     """For each text and window the least id among texts with that window."""
-    ids: dict[bytes, int] = {}
-    seqs = [np.array([ids.setdefault(w, len(ids) + 1) for w in t.split()], np.int64) for t in texts]
-    index = FMIndex(seqs, len(ids) + 1)
+    sizes, hashes = [], []
+    for k in range(0, len(texts), 1000):
+        some = [t.split() for t in texts[k : k + 1000]]
+        sizes += map(len, some)
+        hashes.append(_words.of(list(chain.from_iterable(some))))
+    names, symbols = np.unique(np.concatenate(hashes), return_inverse=True)
+    seqs = np.split(symbols + 1, np.cumsum(sizes)[:-1])
+    index = FMIndex(seqs, len(names) + 1)
     lengths, rows = index.matching_statistics(seqs, window)
     owners = np.array(least, np.int64)[index.owner[index.order]]
     first, _ = index.classes(window)
@@ -411,7 +413,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, g
     return scanned, marked, materialize(removed, "removed")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20, max_contexts: int = 2000, shard_contexts: int = 20_000) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, gram: int = 20, max_contexts: int = 20_000, shard_contexts: int = 20_000) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept_sha256."""
     kind = docs.schema[id_col].dataType.simpleString()
     scanned, marked, removed = repeated_windows(docs, id_col, text_col, window, gram, max_contexts, shard_contexts)
