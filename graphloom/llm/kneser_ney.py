@@ -478,9 +478,9 @@ class Scorer:
         return self.tables.get(at)
 
     def _look_up(self, level: int, key: np.ndarray, shard: np.ndarray, what: str, shape: tuple) -> np.ndarray:
-        """Values for all keys, asking each shard once, in order of its keys."""
+        """Values for ascending keys, asking each shard once."""
         out = np.zeros((*shape, len(key)))
-        order = np.lexsort((key, shard))
+        order = np.argsort(shard.astype(np.uint16), kind="stable")
         key, shard = key[order], shard[order]
         cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
         for s, e in zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist()):
@@ -489,26 +489,35 @@ class Scorer:
                 out[..., order[s:e]] = getattr(t, what)(key[s:e])
         return out
 
-    def raw_counts(self, w: np.ndarray) -> np.ndarray:
-        u, back = np.unique(w, return_inverse=True)
-        key = gram_key(None, u)
-        return self._look_up(RAW, key, self.model.layout.shard(RAW, None, key), "counts", ())[back]
+    def _word_counts(self, level: int, words: np.ndarray) -> np.ndarray:
+        key = gram_key(None, words)
+        order = np.argsort(key)
+        out = np.empty(len(words))
+        out[order] = self._look_up(level, key[order], self.model.layout.shard(level, None, key[order]), "counts", ())
+        return out
+
+    def _contexts(self, level: int, ctx: np.ndarray) -> np.ndarray:
+        """(4, n) statistics of ascending contexts."""
+        layout = self.model.layout
+        stats = self._look_up(level, ctx, layout.spread(mix(ctx, U64(0))), "context", (4,))
+        if level == 2:
+            common = layout.is_hot(ctx)
+            stats[:, common] = self.hot[np.searchsorted(layout.hot, ctx[common])].T
+        return stats
 
     def _discounted(self, c: np.ndarray, level: int) -> np.ndarray:
         d = np.array([0.0, *self.model.discounts[level]])
         return np.maximum(c - d[np.minimum(c, 3).astype(int)], 0)
 
-    def probabilities(self, w: np.ndarray, place: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+    def probabilities(self, words: np.ndarray, which: np.ndarray, w: np.ndarray, place: np.ndarray, ctx: np.ndarray) -> np.ndarray:
+        """Of all tokens; words[which] is w, words ascending."""
         layout, m = self.model.layout, self.model
         floor = 1 / (m.vocabulary + 1)
-        u, back = np.unique(w, return_inverse=True)
         n1, n2, n3, _, kinds, total = m.counts[1]
         if total:
-            key = gram_key(None, u)
-            c = self._look_up(1, key, layout.shard(1, None, key), "counts", ())
             d = m.discounts[1]
             gamma = (d[0] * n1 + d[1] * n2 + d[2] * (kinds - n1 - n2)) / total
-            p = (self._discounted(c, 1) / total + gamma * floor)[back]
+            p = (self._discounted(self._word_counts(1, words), 1) / total + gamma * floor)[which]
         else:
             p = np.full(len(w), floor)
         for level in range(2, layout.order + 1):
@@ -516,17 +525,19 @@ class Scorer:
             h = ctx[level - 2][at]
             key, first, back = np.unique(mix(h, w[at]), return_index=True, return_inverse=True)
             c = self._look_up(level, key, layout.shard(level, h[first], key), "counts", ())[back]
-            hs, first, back_h = np.unique(h, return_index=True, return_inverse=True)
-            stats = self._look_up(level, hs, layout.spread(mix(hs, U64(0))), "context", (4,))
-            if level == 2:
-                common = layout.is_hot(hs)
-                stats[:, common] = self.hot[np.searchsorted(layout.hot, hs[common])].T
-            stats = stats[:, back_h]
+            if level == 2:  # contexts are the words themselves, shifted, and the start
+                held = words if words[0] == START else np.concatenate([[START], words])
+                back_h = np.roll(which + (len(held) - len(words)), 1)
+                back_h[place == 0] = 0
+            else:
+                held, back_h = np.unique(h, return_inverse=True)
+            stats = self._contexts(level, held)
             d = m.discounts[level]
             seen = stats[0] > 0
             whole = np.where(seen, stats[0], 1)
             gamma = np.where(seen, (d[0] * stats[1] + d[1] * stats[2] + d[2] * stats[3]) / whole, 1)
-            p[at] = np.where(seen, self._discounted(c, level) / whole, 0) + gamma * p[at]
+            part = np.where(seen, 1 / whole, 0)
+            p[at] = self._discounted(c, level) * part[back_h] + gamma[back_h] * p[at]
         return p
 
     def score(self, docs: list[np.ndarray]) -> list[np.ndarray]:
@@ -534,10 +545,11 @@ class Scorer:
         sizes = np.array([len(d) for d in docs])
         w, place, ctx = contexts(docs, self.model.layout.order)
         owner = np.repeat(np.arange(len(docs)), sizes)
-        raw = self.raw_counts(w)
-        base = np.log10((raw + 0.1) / (self.model.tokens + 0.1 * (self.model.vocabulary + 1)))
-        p = np.log10(self.probabilities(w, place, ctx))
-        return [sizes, np.bincount(owner, raw > 0, len(docs)).astype(np.int64), np.bincount(owner, base, len(docs)), np.bincount(owner, p, len(docs))]
+        words, which = np.unique(w, return_inverse=True)
+        raw = self._word_counts(RAW, words)
+        base = np.log10((raw + 0.1) / (self.model.tokens + 0.1 * (self.model.vocabulary + 1)))[which]
+        p = np.log10(self.probabilities(words, which, w, place, ctx))
+        return [sizes, np.bincount(owner, (raw > 0)[which], len(docs)).astype(np.int64), np.bincount(owner, base, len(docs)), np.bincount(owner, p, len(docs))]
 
 
 _scorers: dict[int, Scorer] = {}
