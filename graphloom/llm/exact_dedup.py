@@ -135,7 +135,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "h"
     )
     many = d.where("again").select("id", "h")
-    groups = many.groupBy("h").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # written, so that both sides of the join are dealt for it and a hot key can be split
+    groups = materialize(many.groupBy("h").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     rows = many.join(groups, "h").withColumn("first", F.col("id").eqNullSafe(F.col("keep_id")))
     rivals = rows.where("first").withColumn("kept", F.row_number().over(Window.partitionBy("h", "id").orderBy(F.lit(1))) == 1)
     settled = rows.where("not first").withColumn("kept", F.lit(False)).select(out).unionByName(rivals.select(out))

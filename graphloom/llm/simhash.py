@@ -240,6 +240,7 @@ def near_fingerprints(fps: DataFrame, budget: int = 2, max_leaves: int = 100_000
     tries = fps.select("fp", F.explode(F.array(*rot)).alias("t")).select("fp", "t.rot", "t.block")
     large = tries.groupBy("rot", "block").count().where(F.col("count") > max_leaves)
     large = large.select("rot", "block", F.least(F.ceil(F.log2(F.col("count") / max_leaves)) + 2, F.lit(20)).cast("int").alias("cut"))
+    large = materialize(large, "simhash-large")  # so that the join can split a hot block
     leaves = tries.join(large, ["rot", "block"], "left").select("fp", "rot", F.coalesce("cut", F.lit(0)).alias("deep"))
     dealt = leaves.mapInArrow(_deal(budget), "rot int, deep int, na long, nb long, fp long, block long")
     tasks = dealt.repartition("rot", "block", "na", "nb").select("rot", "deep", "na", "nb", "fp")

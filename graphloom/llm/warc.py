@@ -181,6 +181,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("digest"))
     groups = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    groups = materialize(groups, "warc-groups")  # so that the join can split a hot digest
     full = rows.join(groups, "digest", "left")
     revisit = F.col("least").isNotNull() & ~F.col("least").eqNullSafe(F.col("id"))
     full = full.select("id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "size", "digest", F.when(revisit, F.col("least")).alias("first"))
