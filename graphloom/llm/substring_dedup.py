@@ -390,6 +390,7 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, g
     places = scanned.select("id", "rid", F.explode(F.arrays_zip("h", "p")).alias("a")).select("id", "rid", "a.h", "a.p")
     order = F.coalesce(F.col("id"), F.lit(NO_ID))
     shared = places.groupBy("h").agg(F.min(order).alias("lo"), F.max(order).alias("hi")).where("lo < hi").select("h")
+    shared = materialize(shared, "shared")  # so that the join can split a hot anchor
     marks = places.join(shared, "h").groupBy("id", "rid").agg(F.collect_set("p").alias("p")).withColumnsRenamed({"id": "i2", "rid": "r2"})
     marked = rows.join(marks, (F.col("rid") == F.col("r2")) & F.col("id").eqNullSafe(F.col("i2"))).select("id", "rid", "t", "p")
     marked = materialize(marked, "marked")
