@@ -134,12 +134,17 @@ def read_archive(f, chunk: int = 1 << 16) -> Iterator[dict]:
 
 
 def train_dictionary(pages: DataFrame, id_col: str, html_col: str, pages_sampled: int = 200, sample_bytes: int = 16_384, size: int = 32_768) -> bytes:
-    """A dictionary from at most ``pages_sampled`` pages of ``sample_bytes``.
+    """A dictionary from about ``pages_sampled`` pages of ``sample_bytes``.
 
-    It changes the size of archives only, never what is read back. Too little
-    text to train on gives no dictionary.
+    Pages are chosen by a hash of their ids, where they are read, so that only
+    these reach the driver. The dictionary changes the size of archives, never
+    what is read back. Too little text to train on gives no dictionary.
     """
-    rows = pages.select(F.xxhash64(id_col).alias("k"), F.substring(F.coalesce(html_col, F.lit("")), 1, sample_bytes).alias("t")).orderBy("k").limit(pages_sampled).collect()
+    share = min(1.0, pages_sampled / max(1, pages.count()))
+    k = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
+    chosen = pages.where(F.col(id_col).isNotNull() & (k < int(share * (1 << 30))))
+    rows = chosen.select(k.alias("k"), F.substring(F.coalesce(html_col, F.lit("")), 1, sample_bytes).alias("t")).collect()
+    rows.sort(key=lambda r: (r["k"], r["t"]))
     samples = [r["t"].encode() for r in rows if r["t"]]
     try:
         return zstd.train_dictionary(size, samples).as_bytes() if len(samples) >= 20 else b""
