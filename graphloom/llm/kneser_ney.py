@@ -1,8 +1,8 @@
 """Language-model scoring with an interpolated modified Kneser-Ney model.
 
 Counting. A first pass counts words. A second pass counts n-grams: tasks combine
-what they read before it is shuffled, as packed arrays of hashes and counts, one
-array for each shard of the model. The shard of an n-gram follows from the hash
+what they read before it is shuffled, as packed arrays of words and counts, one
+array for each shard of the model; the levels are counted one after the other. The shard of an n-gram follows from the hash
 of its context, so that a context's totals come together in one shard; contexts
 that are one very common word (``1 / HOT_SHARE`` of the tokens or more, so at most
 ``HOT_SHARE`` words) are dealt out by the whole n-gram, and their totals, a few
@@ -36,6 +36,7 @@ every probability is 1 / (V + 1) = 1; an empty table gives no rows.
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import shutil
@@ -47,13 +48,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import open_file, write_file
 from graphloom.llm.hashing import WordHashes
 from graphloom.llm.language_id import remainder
-from graphloom.session import materialize, new_path
+from graphloom.session import materialize, new_path, release
 
 U64 = np.uint64
 START, END = U64(1), U64(2)
@@ -78,6 +79,11 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.append(_words.of((text or "").encode("utf-8", "surrogatepass").lower().split()), END)
 
 
+def opening(text: str | None, n: int) -> str:
+    """The first n words of a text."""
+    return b" ".join((text or "").encode("utf-8", "surrogatepass").split(None, n)[:n]).decode("utf-8", "surrogatepass")
+
+
 def groups_of(texts: list[str | None], tokens: int = 400_000) -> Iterator[list[np.ndarray]]:
     """Hashes of several texts at a time, of about so many tokens."""
     held, size = [], 0
@@ -109,6 +115,14 @@ def contexts(docs: list[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray
     return w, place, ctx
 
 
+def context(cols: list[np.ndarray]) -> np.ndarray | None:
+    """The hash of the words before the last, as ``contexts`` makes it."""
+    out = None
+    for w in reversed(cols[:-1]):
+        out = w if out is None else mix(w, out) & MASK
+    return out
+
+
 def gram_key(ctx: np.ndarray | None, w: np.ndarray) -> np.ndarray:
     return mix(w, U64(0)) if ctx is None else mix(ctx, w)
 
@@ -138,8 +152,8 @@ class Layout:
 
 
 def combine(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Add up the counts of equal n-grams; cols: contexts, longest first, word."""
-    key = gram_key(cols[0] if len(cols) > 1 else None, cols[-1])
+    """Add up the counts of equal n-grams; cols: their words in order."""
+    key = gram_key(context(cols), cols[-1])
     order = np.argsort(key)
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, int)
@@ -148,28 +162,31 @@ def combine(cols: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray
 
 
 def pack(cols: list[np.ndarray], counts: np.ndarray) -> bytes:
-    raw = struct.pack("<II", len(counts), len(cols))
-    for c in cols:
-        raw += (c & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (c >> U64(32)).astype("<u2").tobytes()
-    return zstandard.compress(raw + counts.astype("<u4").tobytes(), 1)
+    """n-grams as places in a table of their words, sorted, and their counts."""
+    words, at = np.unique(np.concatenate(cols), return_inverse=True)
+    at = at.reshape(len(cols), -1)
+    order = np.lexsort(at[::-1])
+    kind = "<u2" if len(words) < 1 << 16 else "<u4"
+    raw = struct.pack("<III", len(counts), len(cols), len(words))
+    raw += (words & U64(0xFFFFFFFF)).astype("<u4").tobytes() + (words >> U64(32)).astype("<u2").tobytes()
+    return zstandard.compress(raw + at[:, order].astype(kind).tobytes() + counts[order].astype("<u4").tobytes(), 1)
 
 
 def unpack(blob: bytes) -> tuple[list[np.ndarray], np.ndarray]:
     raw = zstandard.decompress(blob)
-    n, k = struct.unpack_from("<II", raw)
-    at, cols = 8, []
-    for _ in range(k):
-        low, high = np.frombuffer(raw, "<u4", n, at), np.frombuffer(raw, "<u2", n, at + 4 * n)
-        cols.append(low.astype(U64) | (high.astype(U64) << U64(32)))
-        at += 6 * n
-    return cols, np.frombuffer(raw, "<u4", n, at).astype(np.int64)
+    n, k, v = struct.unpack_from("<III", raw)
+    low, high = np.frombuffer(raw, "<u4", v, 12), np.frombuffer(raw, "<u2", v, 12 + 4 * v)
+    words = low.astype(U64) | (high.astype(U64) << U64(32))
+    kind = "<u2" if v < 1 << 16 else "<u4"
+    at = np.frombuffer(raw, kind, n * k, 12 + 6 * v).reshape(k, n)
+    return [words[c] for c in at], np.frombuffer(raw, "<u4", n, 12 + 6 * v + at.nbytes).astype(np.int64)
 
 
 def dealt(layout: Layout, level: int, cols: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
     """Rows (level, shard, blob) of combined n-grams."""
-    ctx = cols[0] if len(cols) > 1 else None
+    ctx = context(cols)
     shard = layout.shard(level, ctx, gram_key(ctx, cols[-1]))
-    order = np.lexsort((cols[-1], *([ctx] if ctx is not None else []), shard))
+    order = np.argsort(shard.astype(np.uint16), kind="stable")
     shard, cols, counts = shard[order], [c[order] for c in cols], counts[order]
     cuts = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.zeros(0, int)
     ends = np.append(cuts[1:], len(shard))
@@ -219,25 +236,31 @@ def _count_words(layout: Layout):
     return run
 
 
-def _count_grams(layout: Layout):
+def _count_grams(layout: Layout, level: int):
+    """Counts of n-grams of the highest order, or below it of those that start a text."""
     n = layout.order
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = {k: Gatherer(layout, k) for k in range(2, n + 1)}
+        out = Gatherer(layout, level)
         for b in batches:
-            for docs in groups_of(b.column(0).to_pylist()):
-                w, place, ctx = contexts(docs, n)
-                for k in range(2, n + 1):
-                    at = place >= n - 2 if k == n else place == k - 2
-                    cols = [ctx[m - 1][at] for m in range(k - 1, 0, -1)] + [w[at]]
-                    yield from out[k].add(cols, np.ones(len(cols[-1]), np.int64))
-        for g in out.values():
-            yield from g.flush()
+            texts = b.column(0).to_pylist()
+            if level < n:
+                texts = [opening(t, level - 1) for t in texts]
+            for docs in groups_of(texts):
+                if level < n:
+                    docs = [d[: level - 1] for d in docs]
+                sizes = np.array([len(d) for d in docs])
+                w = np.concatenate(docs)
+                place = np.arange(len(w)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                at = np.flatnonzero(place >= level - 2)
+                cols = [np.where(place[at] == m - 1, START, w[at - m]) for m in range(level - 1, 0, -1)] + [w[at]]
+                yield from out.add(cols, np.ones(len(at), np.int64))
+        yield from out.flush()
 
     return run
 
 
-FILE = struct.Struct("<8sQQQ")
+FILE = struct.Struct("<8sQQQQQ")
 REDUCED = "kind string, level int, shard int, blob binary, file string, nums array<long>"
 SCHEMA = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("shard", pa.int32()), ("blob", pa.binary()), ("file", pa.string()), ("nums", pa.list_(pa.int64()))])
 
@@ -245,8 +268,10 @@ SCHEMA = pa.schema([("kind", pa.string()), ("level", pa.int32()), ("shard", pa.i
 def table_file(key: np.ndarray, counts: np.ndarray, ctx: list[np.ndarray]) -> list[bytes]:
     """n-gram hashes and counts, then context hashes, totals and N1, N2, N3."""
     big = np.flatnonzero(counts >= 255)
-    head = FILE.pack(b"GLKN0001", len(key), len(big), len(ctx[0]))
-    parts = [key.astype("<u8"), big.astype("<u8"), counts[big].astype("<u8"), ctx[0].astype("<u8"), *(c.astype("<u8" if i == 0 else "<u4") for i, c in enumerate(ctx[1:])), np.minimum(counts, 255).astype(np.uint8)]
+    # total, the largest column, is no narrower than the others
+    wide = [next(x for x in (2, 4, 8) if int(max((c.max(initial=0) for c in some), default=0)) < 1 << 8 * x) for some in (ctx[1:2], ctx[2:])]
+    head = FILE.pack(b"GLKN0002", len(key), len(big), len(ctx[0]), *wide)
+    parts = [key.astype("<u8"), big.astype("<u8"), counts[big].astype("<u8"), ctx[0].astype("<u8"), *(c.astype(f"<u{wide[i > 0]}") for i, c in enumerate(ctx[1:])), np.minimum(counts, 255).astype(np.uint8)]
     return [head, *(p.tobytes() for p in parts)]
 
 
@@ -255,8 +280,8 @@ class Table:
 
     def __init__(self, address: str):
         raw = mapped(address)
-        magic, n, big, n_ctx = FILE.unpack(raw[: FILE.size].tobytes())
-        if magic != b"GLKN0001":
+        magic, n, big, n_ctx, total_size, n_size = FILE.unpack(raw[: FILE.size].tobytes())
+        if magic != b"GLKN0002":
             raise ValueError(f"{address} is not a model file")
         at = FILE.size
 
@@ -267,8 +292,8 @@ class Table:
             return out
 
         self.keys, self.big, self.big_counts = take(n, "<u8"), take(big, "<u8"), take(big, "<u8")
-        self.ctx, self.totals = take(n_ctx, "<u8"), take(n_ctx, "<u8")
-        self.n = [take(n_ctx, "<u4") for _ in range(3)]
+        self.ctx, self.totals = take(n_ctx, "<u8"), take(n_ctx, f"<u{total_size}")
+        self.n = [take(n_ctx, f"<u{n_size}") for _ in range(3)]
         self.small = take(n, "|u1")
 
     @staticmethod
@@ -323,7 +348,7 @@ def _reduce(layout: Layout, level: int, folder: str):
 
         def finish(shard: int, blobs: list) -> Iterator[pa.RecordBatch]:
             cols, counts = combine([np.concatenate(c) for c in zip(*(b[0] for b in blobs))], np.concatenate([b[1] for b in blobs]))
-            ctx = cols[0] if len(cols) > 1 else None
+            ctx = context(cols)
             key = gram_key(ctx, cols[-1])  # ascending, as combine sorts by it
             for c in range(1, 5):
                 coc[c - 1] += (counts == c).sum()
@@ -396,7 +421,7 @@ def _shards(rows: DataFrame, layout: Layout, level: int, folder: str) -> DataFra
     return dealt_rows.mapInArrow(_reduce(layout, level, folder), REDUCED)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, docs_per_shard: int = 5000, max_shards: int = 20_000) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 3, docs_per_shard: int = 5000, max_shards: int = 20_000) -> Model:
     """Count the texts whose id has a remainder other than 0 modulo 10."""
     spark = docs.sparkSession
     folder = new_path(spark, "kneser-ney")
@@ -417,24 +442,34 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     common = materialize(spark.createDataFrame([(k[1], f) for k, f in files.items()], "shard int, file string").repartition(max(1, min(len(files), 64))).mapInArrow(_common_words(counts[RAW][5]), "word long"), "common-words")
     layout.hot = np.array(sorted({r["word"] for r in common.collect()} | {int(START)}), U64)
 
-    rows = texts.mapInArrow(_count_grams(layout), blobs)
-    if order > 2:
-        rows = materialize(rows, "n-grams")
     hot: dict[int, list[int]] = {}
     made = None
     for level in range(order, 0, -1):
-        parts = rows.where(F.col("level") == level) if level > 1 else None
-        if made is not None:
-            low = made.where("kind = 'lower'").select("level", "shard", "blob")
+        # each level reads the texts again, so that counts of one level only are on disk
+        parts = texts.mapInArrow(_count_grams(layout, level), blobs) if level > 1 else None
+        above = made
+        if above is not None:
+            low = above.where("kind = 'lower'").select("level", "shard", "blob")
             parts = low if parts is None else parts.unionByName(low)
         made = materialize(_shards(parts, layout, level, folder), f"order-{level}")
         note(made, level)
+        parts = low = None
+        if above is not None:
+            release(above)
+        _let_go(spark)
         if level == 2:
             sums = made.where("kind = 'hot'").groupBy(F.col("nums")[0].alias("c")).agg(*[F.sum(F.col("nums")[i]).alias(f"n{i}") for i in range(1, 5)])
             hot = {r["c"]: [r[f"n{i}"] for i in range(1, 5)] for r in sums.collect()}
+    release(made)
     return Model(layout, files, {k: discounts(c[:4]) for k, c in counts.items() if k}, counts, hot)
 
 
+def _let_go(spark: SparkSession) -> None:
+    """Have Spark delete shuffle files of frames that are out of use."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _common_words(tokens: int):
     """Words of the word tables that make up 1 / HOT_SHARE of the tokens."""
 

@@ -37,7 +37,7 @@ def op6_token_binary(spark, sf_dir):
 
 def op7_kneser_ney(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
-    return kneser_ney.score_documents(docs, kneser_ney.train(docs))
+    return kneser_ney.score_documents(docs, kneser_ney.train(docs, order=3))
 
 
 def op8_url_filter(spark, sf_dir):

@@ -323,6 +323,12 @@ def test_kneser_ney(edge, docs, rows, order):
             assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
 
 
+def test_registered_model_has_order_3(spark, rows):
+    want = brute.kneser_ney(rows, 3)
+    for r in registry.op7_kneser_ney(spark, SF).collect():
+        assert r["score"] == pytest.approx(want[r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]][1], rel=1e-9)
+
+
 def test_kneser_ney_empty(edge):
     none = edge.limit(0)
     model = kneser_ney.train(none)
