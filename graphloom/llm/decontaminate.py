@@ -4,23 +4,25 @@ A seed is a hash of the tokens under a fixed mask, which ignores some positions,
 so that replaced words at those positions leave it unchanged. The seeds of the
 benchmark are joined with those of every position of every document. Around each
 hit the item is laid against the document without gaps; it is an overlap if a
-stretch around the hit of ``min(stretch, item length)`` tokens or more agrees in
-at least ``similarity`` of its tokens.
+stretch of ``min(stretch, item length)`` tokens agrees in at least ``similarity``
+of its tokens. The masks are chosen by that length and the mismatches it allows,
+so that one of them fits between the mismatches wherever those are.
 
 The benchmark is the query set: it is taken in blocks of ``block_items`` items,
 and only one block's seeds and tokens are broadcast at a time. Documents never
 shuffle.
 
-Tokens are runs of letters, digits and underscores, lower-cased. Items shorter
-than the masks use one mask that covers the whole item.
+Tokens are runs of letters, digits and underscores, lower-cased.
 
 Defined results: null or empty texts and benchmark items have no overlaps, as have
-items of fewer than ``min_tokens`` tokens; repeated rows give repeated results;
+items of fewer than ``min_tokens`` tokens, unless ``short_items`` asks for their
+whole and exact matches; repeated rows give repeated results;
 empty tables give no rows; results have the two ids and their own columns only.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from functools import reduce
@@ -33,8 +35,15 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.hashing import WordHashes
 
-# The masks, of span 12 and weight 8.
-MASKS = ("111011010011", "110100110111", "101110011101", "111101101010")
+# By length of the stretch and mismatches in it: masks of which one is free of
+# mismatches somewhere in the stretch, wherever they are (found by search).
+MASKS = {
+    (6, 1): ("10111", "11101"),
+    (8, 1): ("111011", "1011011"),
+    (10, 2): ("110111", "11100011", "1101001001"),
+    (12, 2): ("11010111", "111100101", "111000001011"),
+    (13, 2): ("11011111", "11101010011", "1110010111"),
+}
 WORD = re.compile(r"\w+")
 _words = WordHashes(400_000)
 
@@ -44,6 +53,21 @@ def tokens(text: str | None) -> np.ndarray:
     return _words.of(WORD.findall((text or "").lower()))
 
 
+def needed(stretch: int, similarity: float) -> int:
+    """The tokens of a stretch that have to agree."""
+    return math.ceil(similarity * stretch - 1e-9)
+
+
+def masks_for(stretch: int, mismatches: int) -> tuple[str, ...]:
+    """Masks that find every stretch of this length with so many mismatches or fewer."""
+    if mismatches <= 0:
+        return ("1" * stretch,)
+    # mismatches leave a run of that many tokens at least
+    plain = ("1" * max(1, stretch // (mismatches + 1)),)
+    fit = [m for (n, k), m in MASKS.items() if n <= stretch and k >= mismatches]
+    return max([plain, *fit], key=lambda m: m[0].count("1"))
+
+
 def seeds(t: np.ndarray, mask: str) -> np.ndarray:
     """Seed at every position where the mask fits."""
     n = len(t) - len(mask) + 1
@@ -60,13 +84,16 @@ def seeds(t: np.ndarray, mask: str) -> np.ndarray:
 class SeedIndex:
     """Seeds of a block of benchmark items: sorted, with a bitmap in front."""
 
-    def __init__(self, items: list[tuple[int, str]], min_tokens: int, stretch: int, similarity: float):
-        self.stretch, self.similarity = stretch, similarity
+    def __init__(self, items: list[tuple[int, str]], min_tokens: int, stretch: int, similarity: float, short_items: bool = False):
         self.items = [(i, tokens(t)) for i, t in items]
+        self.need: list[tuple[int, int]] = []  # by item: length of the stretch, tokens of it that agree
         by_mask: dict[str, list] = {}
         for k, (_, t) in enumerate(self.items):
-            if len(t) >= min_tokens:
-                for m in MASKS if len(t) >= len(MASKS[0]) else ("1" * len(t),):
+            n = min(stretch, len(t)) if len(t) >= min_tokens else len(t)
+            least = needed(n, similarity) if len(t) >= min_tokens else n
+            self.need.append((n, least))
+            if n and (len(t) >= min_tokens or short_items):
+                for m in masks_for(n, n - least):
                     s = seeds(t, m)
                     by_mask.setdefault(m, []).append((s, np.full(len(s), k), np.arange(len(s))))
         self.masks = {}
@@ -80,31 +107,30 @@ class SeedIndex:
     def overlaps(self, text: str | None) -> list[tuple[int, int, float, int]]:
         """(item, tokens that agree, share of the item, first token) per item, best first found."""
         t = tokens(text)
-        found: dict[tuple[int, int], list[int]] = {}
+        places = []
         for m, (s, k, p, there) in self.masks.items():
             d = seeds(t, m)
             at = np.flatnonzero(there[(d >> np.uint64(44)).astype(np.int64)])
             if not len(at):
                 continue
             lo, hi = np.searchsorted(s, d[at], "left"), np.searchsorted(s, d[at], "right")
-            for a, x, y in zip(at[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist()):
-                for j in range(x, y):
-                    found.setdefault((int(k[j]), a - int(p[j])), []).append(int(p[j]))
+            n = hi - lo
+            j = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+            places.append(np.stack([k[j], np.repeat(at, n) - p[j]]))
         best: dict[int, tuple[int, float, int]] = {}
-        for (k, shift), hits in sorted(found.items()):
+        for k, shift in sorted(set(zip(*np.concatenate(places, axis=1).tolist()))) if places else ():
             item = self.items[k][1]
             lo, hi = max(0, -shift), min(len(item), len(t) - shift)
-            same = np.concatenate([[0], np.cumsum(item[lo:hi] == t[lo + shift : hi + shift])])
-            need = min(self.stretch, len(item))
+            need, least = self.need[k]
             if hi - lo < need:
                 continue
-            agree = same[need:] - same[:-need]
-            good = np.flatnonzero(agree >= np.ceil(self.similarity * need - 1e-9))
-            # the stretch has to reach over a hit
-            span = min(len(MASKS[0]), len(item))
-            good = [g for g in good.tolist() if any(g + lo < h + span and h < g + lo + need for h in hits)]
-            if good and int(same[-1]) > best.get(k, (0, 0.0, 0))[0]:
-                best[k] = (int(same[-1]), float(same[-1] / len(item)), max(0, shift))
+            same = item[lo:hi] == t[lo + shift : hi + shift]
+            total = int(np.count_nonzero(same))
+            if total < least or total <= best.get(k, (0, 0.0, 0))[0]:
+                continue
+            run = np.concatenate([[0], np.cumsum(same)])
+            if (run[need:] - run[:-need]).max() >= least:
+                best[k] = (total, total / len(item), max(0, shift))
         return [(self.items[k][0], *v) for k, v in best.items()]
 
 
@@ -132,7 +158,7 @@ def _held(items: list[tuple[int, str]], *how) -> SeedIndex:
     return _index[key]
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 6, stretch: int = 13, similarity: float = 0.8, block_items: int = 20_000) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 6, stretch: int = 13, similarity: float = 0.8, block_items: int = 20_000, short_items: bool = False) -> DataFrame:
     """(doc id, item id, n_matched, share, start): one row per document and item."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
@@ -143,7 +169,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         sent = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = _held(sent.value, min_tokens, stretch, similarity)
+            index = _held(sent.value, min_tokens, stretch, similarity, short_items)
             for b in batches:
                 out = [(i, *x) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for x in index.overlaps(t)]
                 cols = list(zip(*out)) or [[]] * 5

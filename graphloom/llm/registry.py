@@ -27,7 +27,7 @@ def op4_substring_dedup(spark, sf_dir):
 
 
 def op5_decontaminate(spark, sf_dir):
-    return decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontaminate.find_overlaps(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"), short_items=True)
 
 
 def op6_token_binary(spark, sf_dir):

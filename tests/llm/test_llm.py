@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 import random
 import zlib
 
@@ -247,6 +248,39 @@ def test_decontaminate(spark, docs):
     assert decontaminate.find_overlaps(d.limit(0), b).count() == 0 and decontaminate.find_overlaps(d, b.limit(0)).count() == 0
 
 
+def test_decontaminate_finds_all_within_the_threshold():
+    for n in range(6, 16):
+        item = [f"w{i}" for i in range(n)]
+        index = decontaminate.SeedIndex([(1, " ".join(item))], 6, 13, 0.8)
+        for k in range(4):
+            for gone in itertools.combinations(range(n), k):
+                text = " ".join(["a", "b"] + ["x" if i in gone else w for i, w in enumerate(item)] + ["c"])
+                need = min(n, 13)
+                want = any(sum(s <= i < s + need for i in gone) <= need / 5 for s in range(n - need + 1))
+                assert bool(index.overlaps(text)) == want, (n, gone)
+    # a part of 13 tokens of a longer item, cut off by others at both ends
+    item = [f"w{i}" for i in range(30)]
+    index = decontaminate.SeedIndex([(1, " ".join(item))], 6, 13, 0.8)
+    for gone in itertools.combinations(range(13), 2):
+        assert index.overlaps(" ".join(["a"] * 9 + ["x" if i in gone else w for i, w in enumerate(item[8:21])] + ["c"] * 9)), gone
+
+
+@pytest.mark.parametrize(("stretch", "similarity"), [(9, 0.7), (16, 0.75), (7, 1.0), (5, 0.5)])
+def test_decontaminate_other_thresholds(stretch, similarity):
+    item = [f"w{i}" for i in range(stretch)]
+    index = decontaminate.SeedIndex([(1, " ".join(item))], 3, stretch, similarity)
+    for k in range(stretch - decontaminate.needed(stretch, similarity) + 1):
+        for gone in itertools.combinations(range(stretch), k):
+            assert index.overlaps(" ".join("x" if i in gone else w for i, w in enumerate(item))), gone
+
+
+def test_short_items_match_whole_and_exact():
+    index = decontaminate.SeedIndex([(1, "What is it?"), (2, "yes"), (3, "")], 6, 13, 0.8, True)
+    assert {i for i, *_ in index.overlaps("so what is it then")} == {1}
+    assert {i for i, *_ in index.overlaps("Yes, what was it")} == {2}
+    assert index.overlaps("") == []
+
+
 def test_decontaminate_whole_items(spark, docs, rows):
     items = tuples(read_table(spark, SF, "benchmark"))
     flat = {i: " ".join(decontaminate.WORD.findall((t or "").lower())) for i, t in rows}
