@@ -8,12 +8,13 @@ the text's length, estimates the cross-entropy in bits a letter; the language
 with the least wins, the first name on ties.
 
 Texts are lower-cased, every run of characters that are not letters becomes one
-gap, and letters beyond the commonest of the labelled text share one symbol.
+gap. Every letter of the labelled text has a symbol of its own; letters that none
+of it has share one, which no automaton knows. An automaton has a column for each
+letter of its own language only.
 Phrases end at every ``BLOCK`` symbols, so that all blocks of a batch of texts,
 whole texts throughout, are parsed in step with array operations.
 
-The labelled sample is bounded: of each of the ``max_languages`` commonest
-languages ``docs_per_language`` documents, chosen by a hash of the id, and of each
+The labelled sample is bounded: of each language ``docs_per_language`` documents, chosen by a hash of the id, and of each
 ``chars_per_doc`` characters from its middle.
 
 Defined results: text that is null or has no letter gives ``und`` with score 0, as
@@ -24,8 +25,8 @@ columns do not matter, the result has the id and its own columns only.
 
 from __future__ import annotations
 
+import json
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 256
+DENSE = 1 << 25  # cells of the tables of all languages; automata beyond are kept as edges
 GAP, OTHER, FIRST = 0, 1, 2
-MAX_SYMBOLS = 61
 PHRASE = np.uint32(1 << 30)  # phrases that end, above the bits of the state
 
 
@@ -92,6 +93,24 @@ class SuffixAutomaton:
         return table
 
 
+    def parse_edges(self, n_symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same as sorted edges: symbols at the start, keys state and symbol, states."""
+        start = np.zeros(n_symbols + 1, np.uint32)
+        start[:n_symbols] = [self.next[0].get(c, int(PHRASE)) for c in range(n_symbols)]
+        edges = sorted((s * (n_symbols + 1) + c, t) for s, e in enumerate(self.next) for c, t in e.items())
+        key, to = np.array(edges, np.int64).reshape(-1, 2).T
+        return start, np.append(key, np.int64(1 << 62)), np.append(to, 0).astype(np.uint32)
+
+
+def _step(table, width: int, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    key = state * width + symbol
+    if isinstance(table, np.ndarray):
+        return table[key]
+    start, keys, to = table
+    at = np.searchsorted(keys, key)
+    return np.where(keys[at] == key, to[at], start[symbol] + PHRASE * (state > 0))
+
+
 def _alpha() -> np.ndarray:
     out = np.zeros(0x110000, bool)
     for c in range(0x110000):
@@ -106,25 +125,35 @@ class CrossParser:
     def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         alpha = _alpha()
-        counts = Counter(c for t in samples.values() for c in t.lower() if c.isalpha())
-        letters = [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:MAX_SYMBOLS]]
-        self.classes = np.where(alpha, OTHER, GAP).astype(np.uint8)
+        letters = sorted({c for t in samples.values() for c in t.lower() if c.isalpha()})
+        self.classes = np.where(alpha, OTHER, GAP).astype(np.uint32)
         for i, c in enumerate(letters):
             self.classes[ord(c)] = FIRST + i
-        self.n_symbols = FIRST + len(letters)
-        tables, self.log_sizes = [], []
+        self.padding = FIRST + len(letters)
+        self.tables, self.columns, self.log_sizes = [], [], []
+        room = DENSE
         for name in self.languages:
             symbols, _ = self.symbols([samples[name]])
-            tables.append(SuffixAutomaton(symbols.tolist()).parse_table(self.n_symbols))
+            own = np.unique(symbols)
+            # columns: symbols of the sample, one for all others, padding
+            column = np.full(self.padding + 1, len(own), np.min_scalar_type(len(own) + 1))
+            column[own] = np.arange(len(own))
+            column[self.padding] = len(own) + 1
+            self.columns.append(column)
+            automaton = SuffixAutomaton(column[symbols].tolist())
+            room -= (cells := len(automaton.next) * (len(own) + 2))
+            if room >= 0:
+                self.tables.append(automaton.parse_table(len(own) + 1).ravel())
+            else:
+                self.tables.append(automaton.parse_edges(len(own) + 1))
+                room += cells
             self.log_sizes.append(math.log2(max(2, len(symbols))))
-        self.base = np.cumsum([0] + [len(t) for t in tables[:-1]]).astype(np.int64) * (self.n_symbols + 1)
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.uint32)
 
     def symbols(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All texts' symbols on end, and where each text starts."""
         raw = [np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), "<u4") for t in texts]
         sizes = np.array([len(r) for r in raw], np.int64)
-        c = self.classes[np.concatenate(raw)] if len(raw) else np.zeros(0, np.uint8)
+        c = self.classes[np.concatenate(raw)] if len(raw) else np.zeros(0, np.uint32)
         starts = np.concatenate([[0], np.cumsum(sizes)])
         keep = np.ones(len(c), bool)
         keep[1:] = (c[1:] != GAP) | (c[:-1] != GAP)
@@ -144,17 +173,17 @@ class CrossParser:
         at = starts[:-1][owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
         end = np.minimum(at + BLOCK, starts[1:][owner])
         phrases = np.zeros((len(self.languages), len(texts)))
-        width = self.n_symbols + 1
         for lo in range(0, len(owner), 8192):
             a, e, o = at[lo : lo + 8192], end[lo : lo + 8192], owner[lo : lo + 8192]
             grid = a[None, :] + np.arange(BLOCK + 1)[:, None]
-            grid = np.where(grid < e[None, :], flat[np.minimum(grid, len(flat) - 1)], self.n_symbols).astype(np.int64)
+            grid = np.where(grid < e[None, :], flat[np.minimum(grid, len(flat) - 1)], self.padding)
             for k in range(len(self.languages)):
-                table, base = self.table, self.base[k]
+                table, column = self.tables[k], self.columns[k]
+                width = int(column[self.padding]) + 1
                 state = np.zeros(len(a), np.int64)
                 count = np.zeros(len(a), np.int64)
-                for row in grid:
-                    v = table[base + state * width + row]
+                for row in column[grid]:
+                    v = _step(table, width, state, row)
                     count += v >> 30
                     state = (v & (PHRASE - np.uint32(1))).astype(np.int64)
                 phrases[k] += np.bincount(o, count, len(texts))
@@ -181,13 +210,13 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(n))
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, chars_per_doc: int, max_languages: int) -> dict[str, str]:
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, docs_per_language: int, chars_per_doc: int) -> dict[str, str]:
     """Sampled text of each language; rows with remainder 2 of 4 are left out."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (remainder(F.col(id_col), 4) != 2))
-    counts = rows.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
+    counts = rows.groupBy(F.col(lang_col).alias("l")).count().collect()
     if not counts:
         return {}
-    shares = F.create_map(*[F.lit(x) for r in counts for x in (r["l"], min(1.0, 2 * docs_per_language / r["count"]))])
+    shares = F.from_json(F.lit(json.dumps({r["l"]: min(1.0, 2 * docs_per_language / r["count"]) for r in counts})), "map<string,double>")
     hashed = F.xxhash64(F.col(id_col), F.lit(3))
     size = F.length(text_col)
     picked = rows.where(F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.try_element_at(shares, F.col(lang_col))).select(
@@ -210,9 +239,9 @@ def _parser(samples: dict[str, str]) -> CrossParser:
     return _parsers[key]
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, chars_per_doc: int = 600, max_languages: int = 100) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, chars_per_doc: int = 600) -> DataFrame:
     """(id, held_out, lang_pred, score) for every row."""
-    samples = docs.sparkSession.sparkContext.broadcast(labelled_sample(docs, id_col, text_col, lang_col, docs_per_language, chars_per_doc, max_languages))
+    samples = docs.sparkSession.sparkContext.broadcast(labelled_sample(docs, id_col, text_col, lang_col, docs_per_language, chars_per_doc))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +257,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """The rows whose text is in a learned language: ``und`` is rejected."""
-    bounds = {"docs_per_language": 64, "chars_per_doc": 600, "max_languages": 100} | options
+    bounds = {"docs_per_language": 64, "chars_per_doc": 600} | options
     samples = docs.sparkSession.sparkContext.broadcast(labelled_sample(docs, id_col, text_col, lang_col, **bounds))
 
     @F.pandas_udf("boolean")

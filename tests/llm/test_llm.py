@@ -164,6 +164,33 @@ def test_language_edges(spark, edge):
     assert kept.columns == edge.columns and key(r["doc_id"] for r in kept.collect()) == key(r["doc_id"] for r in out if r["lang_pred"] != "und")
 
 
+def test_scripts_beyond_a_shared_alphabet():
+    rng = random.Random(4)
+    # the first two differ in rare letters only
+    alphabets = ["".join(map(chr, range(97, 123))) * 9 + x for x in ("ħĸ", "ŋŧ")] + ["".join(map(chr, range(a, a + 60))) for a in (0x430, 0xE01, 0x4E00, 0x4F00, 0xAC00)]
+    alphabets = ["".join(c for c in a if c.isalpha()) for a in alphabets]
+    text = lambda a, n: " ".join("".join(rng.choices(a, k=5)) for _ in range(n))
+    parser = language_id.CrossParser({f"l{k}": text(a, 300) for k, a in enumerate(alphabets)})
+    for k, a in enumerate(alphabets[2:], 2):
+        assert parser.predict([text(a, 30) for _ in range(20)])[0] == [f"l{k}"] * 20
+    assert parser.predict([" ".join(["ħĸ"] * 9), " ".join(["ŋŧ"] * 9)])[0] == ["l0", "l1"]
+
+
+def test_edges_agree_with_tables(monkeypatch):
+    samples = {"x": "the cat sat on the mat", "y": "le chat est sur le tapis", "z": "кот сидит", "": "..."}
+    texts = ["the cat", "on the tapis", "zzz", "кот le", "", "a" * 600, "梦 sat"]
+    dense = language_id.CrossParser(samples).entropies(texts)[0]
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    assert language_id.CrossParser(samples).entropies(texts)[0].tolist() == dense.tolist()
+
+
+def test_more_than_100_languages(spark):
+    made = [(8 * k + i, f"{chr(0x4E00 + 2 * k)}{chr(0x4E01 + 2 * k)} " * 9, f"l{k:03d}") for k in range(130) for i in range(8)]
+    d = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(d).collect()}
+    assert got == {i: lang for i, _, lang in made}
+
+
 def test_cross_parse():
     parser = language_id.CrossParser({"x": "the cat sat on the mat", "y": "le chat est sur le tapis"})
 
