@@ -256,12 +256,14 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
-    """The rows whose text is in a learned language: ``und`` is rejected."""
+    """The rows whose text has letters, which is in a learned language if there are any."""
     bounds = {"docs_per_language": 64, "chars_per_doc": 600} | options
     samples = docs.sparkSession.sparkContext.broadcast(labelled_sample(docs, id_col, text_col, lang_col, **bounds))
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
+        if not samples.value:
+            return pd.Series([any(c.isalpha() for c in t or "") for t in texts], dtype=bool)
         out: list[bool] = []
         for i in range(0, len(texts), 1000):
             out += [n != "und" for n in _parser(samples.value).predict(texts[i : i + 1000].tolist())[0]]

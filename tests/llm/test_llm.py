@@ -164,6 +164,11 @@ def test_language_edges(spark, edge):
     assert kept.columns == edge.columns and key(r["doc_id"] for r in kept.collect()) == key(r["doc_id"] for r in out if r["lang_pred"] != "und")
 
 
+def test_language_stage_without_labels(edge):
+    kept = language_id.keep_identified(edge.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert key(r["doc_id"] for r in kept) == key(i for i, t in EDGE if any(c.isalpha() for c in t or ""))
+
+
 def test_scripts_beyond_a_shared_alphabet():
     rng = random.Random(4)
     # the first two differ in rare letters only
