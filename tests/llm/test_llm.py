@@ -377,14 +377,14 @@ def test_token_file_random_access():
 # 7 ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("order", [2, 3])
+@pytest.mark.parametrize("order", [2, 3, 4])
 def test_kneser_ney(edge, docs, rows, order):
     for df, source in ((edge, EDGE), (docs, rows)):
         got = kneser_ney.score_documents(df, kneser_ney.train(df, order=order)).collect()
         want = brute.kneser_ney(source, order)
         assert len(got) == len(source)
         for r in got:
-            base, score = want[r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]] if r["doc_id"] not in (None, 6) else (r["base_score"], r["score"])
+            base, score = want[r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"]]
             assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] == pytest.approx(score, rel=1e-9)
             assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
 
@@ -403,8 +403,8 @@ def test_kneser_ney_empty(edge):
 
 
 def test_kneser_ney_shards_agree(docs):
-    model = kneser_ney.train(docs, docs_per_shard=1, max_shards=50)
-    assert len(model.layout.hot) > 3  # common words are dealt out by n-gram
+    model = kneser_ney.train(docs, docs_per_shard=10)
+    assert model.layout.shards == docs.count() // 10
     one = kneser_ney.train(docs, docs_per_shard=10**9)
     got = [{r["doc_id"]: r["score"] for r in kneser_ney.score_documents(docs, m).collect()} for m in (model, one)]
     assert got[0] == pytest.approx(got[1], rel=1e-12)
