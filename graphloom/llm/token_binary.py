@@ -3,8 +3,8 @@
 A file holds the ids of consecutive documents as one array, and the borders
 between documents as an Elias-Fano sequence: the low bits of every border packed
 side by side, the high bits in unary. A select structure over the unary part (a
-count of ones before every 512th bit) gives any border in constant time, so that
-no table of 64-bit offsets is needed. Document ids are kept the same way.
+count of ones before every 512th bit, found by binary search) gives any border,
+so that no table of 64-bit offsets is needed. Document ids are kept the same way.
 
 Layout, all little-endian: the magic ``GLTI``, u32 version, u32 bytes per id,
 u64 documents, u64 ids, u64 documents with a null id (they come first), i64
@@ -13,13 +13,16 @@ least) and the id array. A sequence is u64 n, u64 largest value, u32 low bits,
 u32 zero, the packed low bits, the packed high bits and the u32 block counts,
 each part padded to 8 bytes.
 
-Encoding runs over the pieces of a text between spaces. The vocabulary's
-pre-tokenizer never joins text across a space that has other characters on both
-sides, so pieces can be encoded apart and kept in a bounded table.
+Encoding is that of the library, special tokens in a text included. It runs over
+the pieces of a text between spaces. The vocabulary's pre-tokenizer never joins
+text across a space that has other characters on both sides, so pieces can be
+encoded apart and kept in a bounded table. A text that holds the string of an added
+token is given to the library whole.
 
 Defined results: null text counts as empty and gives the end id alone; documents
 with null ids come first, in the order of their texts; rows with the same id are
-ordered by text; an empty table gives no rows.
+ordered by text; an empty table gives no rows; texts of any length are taken whole;
+an id that does not fit the width is an error. Results have their own columns only.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import open_file, write_file
@@ -108,6 +111,8 @@ class EliasFano:
 
 def pack_documents(doc_ids: list[int | None], ids: list[bytes], width: int) -> list[bytes]:
     """The parts of a file; ids has the u32 ids of each document."""
+    if any(len(b) and int(np.frombuffer(b, "<u4").max()) >> 8 * width for b in ids):
+        raise ValueError(f"an id does not fit {width} bytes")
     nulls = sum(d is None for d in doc_ids)
     own = np.array(doc_ids[nulls:], np.int64)
     least = int(own[0]) if len(own) else 0
@@ -157,7 +162,9 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        # with a normalizer, a token's string may arise from others: nothing is cut then
+        self.added = re.compile("|".join(map(re.escape, added)) if self.model.normalizer is None and added else "$^" if not added else "")
         self.known: dict[str, bytes] = {}
         self.max_pieces, self.max_piece = max_pieces, max_piece
 
@@ -183,7 +190,12 @@ class PieceEncoder:
         """u32 ids of each text."""
         firsts, rests = [], []
         for t in texts:
-            parts = (t or "").split(" ") if not _RUN.search(t or "") else [p if i == 0 else p[1:] for i, p in enumerate(_CUT.split(t))]
+            if not t or self.added.search(t):
+                parts = [t or ""]
+            elif _RUN.search(t):
+                parts = [p if i == 0 else p[1:] for i, p in enumerate(_CUT.split(t))]
+            else:
+                parts = t.split(" ")
             firsts.append(parts[0])
             rests.append(parts[1:])
         if len(self.known) > self.max_pieces:
@@ -236,14 +248,18 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, file_ids: int):
     return run
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int = 2, file_ids: int = 1 << 23) -> tuple[DataFrame, str]:
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", width: int | None = None, file_ids: int = 1 << 23) -> tuple[DataFrame, str]:
     """Encode ``docs`` into files in ascending id order.
 
     Returns the manifest (part, seq, n_docs, n_ids, file), whose order by
     (part, seq) is that of the documents, and the folder. Rows are dealt by
-    ranges of the id, as many as the input has partitions at least.
+    ranges of the id, as many as the input has partitions at least. An id takes
+    ``width`` bytes, as many as the vocabulary and the end id need by default.
     """
     spark = docs.sparkSession
+    if width is None:
+        top = max(end_id, _encoder(tokenizer).model.get_vocab_size() - 1)
+        width = 2 if top < 1 << 16 else 4
     folder = new_path(spark, "tokens")
     n = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("t"))
@@ -268,12 +284,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_tokens(manifest: DataFrame) -> DataFrame:
     """One row per document, from the files: doc_id, start, n_tokens, ids_crc32.
 
-    The driver holds one line per file (of ``file_ids`` ids), not per document.
+    The driver holds one line per task that wrote; the files of a task (each of
+    ``file_ids`` ids) are numbered where they are.
     """
     spark = manifest.sparkSession
-    rows, base = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["seq"])):
-        rows.append((r["file"], base))
-        base += r["n_ids"]
-    table = spark.createDataFrame(rows, "file string, base long").repartition(max(1, len(rows)), "file")
+    rows, base, files = [], 0, 0
+    for r in manifest.groupBy("part").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).orderBy("part").collect():
+        rows.append((r["part"], base))
+        base, files = base + r["n"], files + r["files"]
+    before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    table = manifest.withColumn("before", before).join(spark.createDataFrame(rows, "part long, base long"), "part")
+    table = table.select("file", (F.col("base") + F.col("before")).alias("base")).repartition(max(1, min(files, 4 * spark.sparkContext.defaultParallelism + len(rows))), "file")
     return table.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
