@@ -6,26 +6,34 @@ best path to each position from these:
 
 * In unigram models a path's score is the sum of its pieces' scores.
 * In merge (BPE) models a path is as good as the merges that make it. A piece may
-  follow another only if merging would not have joined parts of the two first;
-  of the pieces that end at a position exactly one continues a valid path, so the
-  pass gives the very pieces that merging gives, without merging anything.
+  follow another only if merging would not have joined parts of the two first,
+  which follows from the ranks of the merges on both sides of the border; of the
+  pieces that end at a position exactly one continues a valid path, so the pass
+  gives the very pieces that merging gives, without merging the text.
 
 Text is read as spaces turned to U+2581 with one such mark in front, and cut
 before every mark that follows another character; no piece reaches across such a
-cut. A bounded table keeps the segments met before. A run of marks, whose pieces
-tie in score in merge models, is merged directly, leftmost first.
+cut. A bounded table keeps the segments met before. The pieces of a run of marks
+tie in score in merge models; such a run is merged by definition, from a heap, in
+n log n steps. All else is linear in the text.
 
 Characters without a piece become byte pieces. A U+2581 of the text itself
 becomes byte pieces too, unlike in the public library, so that decoding gives
 back every text exactly.
 
 Defined results: null text encodes as null and decodes to null; empty text has
-no ids; the results have the id and their own columns only.
+no ids; texts of any length, of spaces or one character alone too, are encoded
+whole; repeated rows and null ids are carried along; an empty table gives no rows.
+The results have the id and their own columns only, whatever other columns there
+are.
 """
 
 from __future__ import annotations
 
+import heapq
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -37,6 +45,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6  # kinds of pieces in a model file
+FOREVER = 1 << 60
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
@@ -69,7 +78,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Pieces of a model file, and encoding and decoding with them."""
 
-    def __init__(self, path: str, max_segments: int = 400_000, max_segment: int = 48):
+    def __init__(self, path: str, max_segments: int = 120_000, max_segment: int = 48):
         self.pieces: list[tuple[str, float, int]] = []
         self.kind = UNIGRAM
         with open(path, "rb") as f:
@@ -87,86 +96,130 @@ class PieceModel:
                 elif field == 2:
                     self.kind = dict(_fields(value)).get(3, UNIGRAM)
         normal = [i for i, p in enumerate(self.pieces) if p[2] == NORMAL]
+        self.letters = {c for i in normal for c in self.pieces[i][0] if len(self.pieces[i][0]) == 1} - {"\0"}
+        self.longest = max((len(self.pieces[i][0]) for i in normal), default=0)
         self.ids = {self.pieces[i][0]: i for i in normal}
         self.bytes = {int(p[0][1:-1], 16): i for i, p in enumerate(self.pieces) if p[2] == BYTE}
         if len(self.bytes) != 256:
             raise ValueError("the model needs a piece for every byte")
         values = {i: b for b, i in self.bytes.items()}
         self.spelled = [bytes([values[i]]) if i in values else p[0].replace(MARK, " ").encode() if p[2] == NORMAL else b"" for i, p in enumerate(self.pieces)]
-        # Merge ranks: single characters come first, then pieces by falling score.
-        order = sorted(normal, key=lambda i: (len(self.pieces[i][0]) > 1, -self.pieces[i][1], i))
-        self.by_rank = order
-        self.rank = {i: r for r, i in enumerate(order)}
+        # Merging takes the pair of the best score first. Single characters come
+        # before all; pieces of equal scores share a rank.
+        scores = sorted({self.pieces[i][1] for i in normal if len(self.pieces[i][0]) > 1}, reverse=True)
+        level = {x: r for r, x in enumerate(scores, 1)}
+        self.rank = {i: level[self.pieces[i][1]] if len(self.pieces[i][0]) > 1 else 0 for i in normal}
         self.automaton = ahocorasick.Automaton()
         for i in normal:
-            self.automaton.add_word(self.pieces[i][0], (self.rank[i], len(self.pieces[i][0])))
+            self.automaton.add_word(self.pieces[i][0], (i, len(self.pieces[i][0])))
         self.automaton.make_automaton()
-        self.splits: list[tuple[int, int]] = []
-        self.merges: dict[tuple[int, int], int] = {}
-        self.agrees: dict[tuple[int, int], bool] = {}
-        if self.kind == BPE:
-            self._find_splits()
-        self.known: dict[str, bytes] = {}
+        runs = [self.rank[i] for i in normal if set(self.pieces[i][0]) == {MARK} and len(self.pieces[i][0]) > 1]
+        others = [self.rank[i] for i in normal if set(self.pieces[i][0]) != {MARK} and len(self.pieces[i][0]) > 1]
+        # whether marks merge with each other after all else, and whether all else has ranks of its own
+        self.runs_last = not runs or min(runs) > max(others, default=0)
+        self.distinct = len(set(others)) == len(others) and (self.runs_last or len(set(runs)) == len(runs))
+        self.ends: dict[int, tuple[list, list]] = {}
+        self.agrees: dict[int, bool] = {}
+        self.known: dict[str, bytes] = {}  # segments met of late, and those of the time before
+        self.older: dict[str, bytes] = {}
         self.max_segments, self.max_segment = max_segments, max_segment
 
-    def _find_splits(self) -> None:
-        """The last merge that makes each piece, in order of rank."""
-        for r, i in enumerate(self.by_rank):
-            text, found = self.pieces[i][0], (r, r)
-            for cut in range(len(text) - 1, 0, -1):
-                a, b = self.ids.get(text[:cut]), self.ids.get(text[cut:])
-                if a is not None and b is not None:
-                    a, b = self.rank[a], self.rank[b]
-                    if a < r and b < r and self._stable(a, b):
-                        self.merges[a, b] = r
-                        found = (a, b)
-                        break
-            self.splits.append(found)
-
-    def _stable(self, a: int, b: int) -> bool:
-        """Whether merging leaves piece a followed by piece b as they are.
+    def _merge(self, symbols: list[str], seen=None) -> list[int]:
+        """Merging as defined: the pair of the best score first, the leftmost of
+        equals; seen(rank, place of the left part, place of the end) hears of each.
 
-        Undo the later of the merges that made the two facing ends; had the
-        parts facing each other been joined before that merge, the pair could
-        not have come about.
+        Neighbours are linked by place, pairs wait in a heap.
         """
-        before = len(self.by_rank) + 1
-        while True:
-            if self.merges.get((a, b), before) < before:
-                return False
-            if a > b:
-                before, a = a, self.splits[a][1]
-                if a == before:
-                    before, b = b + 1, self.splits[b][0]
-                    if b + 1 == before:
-                        return True
-            else:
-                before, b = b + 1, self.splits[b][0]
-                if b + 1 == before:
-                    before, a = a, self.splits[a][1]
-                    if a == before:
-                        return True
+        n = len(symbols)
+        ids = [self.ids[s] for s in symbols]
+        text, starts = "".join(symbols), [0, *accumulate(map(len, symbols))]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ends = starts[1:]
+        heap: list[tuple[int, int, int, int]] = []
+
+        def offer(k: int) -> None:
+            if k >= 0 and (j := after[k]) < n:
+                i = self.ids.get(text[starts[k] : ends[j]]) if ends[j] - starts[k] <= self.longest else None
+                if i is not None:
+                    heapq.heappush(heap, (self.rank[i], k, ends[j], i))
+
+        for k in range(n - 1):
+            offer(k)
+        alive = [True] * n
+        while heap:
+            rank, k, end, i = heapq.heappop(heap)
+            if not alive[k] or (j := after[k]) >= n or ends[j] != end:
+                continue
+            if seen:
+                seen(rank, k, end)
+            ids[k], ends[k], after[k], alive[j] = i, end, after[j], False
+            if after[k] < n:
+                before[after[k]] = k
+            offer(before[k])
+            offer(k)
+        return [ids[k] for k in range(n) if alive[k]]
+
+    def _ends(self, i: int) -> tuple[list, list]:
+        """What stands first, and last, in a piece while it is merged from its
+        characters: (piece, rank of the merge that takes it in), in order."""
+        out = self.ends.get(i)
+        if out is None:
+            text = self.pieces[i][0]
+            first, last = [(self.ids.get(text[0], -1), 0)], [(self.ids.get(text[-1], -1), len(text) - 1)]
+            when: tuple[list, list] = ([], [])
+
+            def seen(rank: int, k: int, end: int) -> None:
+                if k == 0:
+                    first.append((self.ids[text[:end]], 0))
+                    when[0].append(rank)
+                if end == len(text):
+                    last.append((self.ids[text[k:]], k))
+                    when[1].append(rank)
+
+            if len(text) == 1 or all(c in self.ids for c in text) and self._merge(list(text), seen) == [i]:
+                out = tuple([(p, w) for (p, _), w in zip(x, [*at, FOREVER])] for x, at in ((first, when[0]), (last, when[1])))
+            else:  # merging never makes this piece
+                out = ([], [])
+            if len(self.ends) > 100_000:
+                self.ends.clear()
+            self.ends[i] = out
+        return out
 
     def _agree(self, a: int, b: int) -> bool:
-        out = self.agrees.get((a, b))
-        if out is None:
-            if len(self.agrees) > 300_000:
-                self.agrees.clear()
-            out = self.agrees[a, b] = self._stable(a, b)
+        """Whether merging leaves piece a followed by piece b as they are.
+
+        The pieces that face each other change over the course of the merges.
+        The two are joined if at some time those that face each other make a
+        piece whose rank comes before the merges that would take either away;
+        of equal ranks the one further left comes first.
+        """
+        left, right = self._ends(a)[1], self._ends(b)[0]
+        i = j = 0
+        out = bool(left and right)
+        while out and i < len(left) and j < len(right):
+            (x, gone), (y, taken) = left[i], right[j]
+            joined = self.ids.get(self.pieces[x][0] + self.pieces[y][0])
+            if joined is not None and (r := self.rank[joined]) < gone and r <= taken:
+                out = False
+            i, j = i + (gone <= taken), j + (taken <= gone)
+        if len(self.agrees) > 300_000:
+            self.agrees.clear()
+        self.agrees[a << 32 | b] = out
         return out
 
     def _best_merges(self, text: str) -> list[int]:
         last = [-1] * (len(text) + 1)
         size = [0] * (len(text) + 1)
+        agrees = self.agrees.get
         for end, (r, n) in self.automaton.iter(text):
             end += 1
             if last[end] < 0:
-                start = end - n
-                if start == 0 or last[start] >= 0 and self._agree(last[start], r):
+                before = last[end - n]
+                if end == n or before >= 0 and (self._agree(before, r) if (ok := agrees(before << 32 | r)) is None else ok):
                     last[end], size[end] = r, n
         out, at = [], len(text)
         while at:
-            out.append(self.by_rank[last[at]])
+            out.append(last[at])
             at -= size[at]
         return out[::-1]
 
@@ -175,31 +228,20 @@ class PieceModel:
         last = [(-1, 0)] * (len(text) + 1)
         for end, (r, n) in self.automaton.iter(text):
             end += 1
-            score = best[end - n] + self.pieces[self.by_rank[r]][1]
+            score = best[end - n] + self.pieces[r][1]
             if score > best[end]:
                 best[end], last[end] = score, (r, n)
         out, at = [], len(text)
         while at:
-            out.append(self.by_rank[last[at][0]])
+            out.append(last[at][0])
             at -= last[at][1]
         return out[::-1]
 
-    def _merge(self, symbols: list[str]) -> list[int]:
-        """Merging as defined: the best pair first, the leftmost of equals."""
-        while True:
-            best = None
-            for k in range(len(symbols) - 1):
-                i = self.ids.get(symbols[k] + symbols[k + 1])
-                if i is not None and (best is None or self.pieces[i][1] > best[0]):
-                    best = self.pieces[i][1], k
-            if best is None:
-                return [self.ids[s] for s in symbols]
-            k = best[1]
-            symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
-
     def _known_part(self, text: str) -> list[int]:
         if self.kind == UNIGRAM:
             return self._best_sum(text)
+        if not self.distinct or MARK * 2 in text and not self.runs_last:
+            return self._merge(list(text))
         if MARK * 2 in text:
             head = len(text) - len(text.lstrip(MARK))
             rest = self._best_merges(text[head - 1 :]) if head < len(text) else []
@@ -211,6 +253,8 @@ class PieceModel:
     def segment(self, text: str) -> list[int]:
         """Ids of a segment, in which U+0000 stands for a mark of the text itself
         if ``\\0m`` follows and for itself if ``\\0z`` follows."""
+        if self.letters.issuperset(text):
+            return self._known_part(text)
         out: list[int] = []
         part: list[str] = []
 
@@ -244,19 +288,22 @@ class PieceModel:
         words = text.split(" ")
         if text[0] == " " or text[-1] == " " or "  " in text:
             words, marks = [], 0
-            for k, w in enumerate(text.split(" ")):
+            parts = text.split(" ")
+            for k, w in enumerate(parts, 1):
                 marks += 1
-                if w or k == text.count(" "):
+                if w or k == len(parts):
                     words.append(MARK * (marks - 1) + w if w else MARK * (marks - 1))
                     marks = 0
         known, out = self.known, []
         for w in words:
             ids = known.get(w)
             if ids is None:
-                ids = np.array(self.segment(MARK + w), "<u4").tobytes()
+                ids = self.older.get(w)
+                if ids is None:
+                    ids = array("I", self.segment(MARK + w)).tobytes()
                 if len(w) <= self.max_segment:
                     if len(known) > self.max_segments:
-                        known.clear()
+                        self.older, self.known = known, (known := {})
                     known[w] = ids
             out.append(ids)
         return b"".join(out)

@@ -149,3 +149,15 @@ def archive(rows, min_bytes=100):
             again = len(raw) >= min_bytes and least is not None and i != least
             out.append((i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", least if again else None))
     return out
+
+
+def merge_pieces(pieces, text):
+    """Merging by definition: the best adjacent pair first, the leftmost of equals."""
+    ids = {p: (i, score) for i, (p, score, kind) in enumerate(pieces) if kind == 1}
+    symbols = list("\u2581" + text.replace(" ", "\u2581")) if text else []
+    while True:
+        pairs = [(-ids[a + b][1], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in ids]
+        if not pairs:
+            return [ids[s][0] for s in symbols]
+        k = min(pairs)[1]
+        symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]

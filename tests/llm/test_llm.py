@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import random
+import time
 import zlib
 
 import duckdb
@@ -29,7 +30,7 @@ BASE = " ".join(f"alpha{i}" for i in range(80))
 EDGE = [
     (1, None), (2, ""), (3, "   \t\n "), (None, None), (None, "null id text"), (None, "null id text"), (4, "same text here"), (5, "same\n text here"),
     (6, "same text here"), (6, "same text here"), (7, "one"), (8, "two words"), (9, "ünïcödé ▁ mark \0 zero 梦 🙂"), (10, LONG), (11, LONG), (12, "12345 !!! ..."),
-    (13, BASE), (14, "start of it " + BASE + " end of it"), (15, BASE + " tail"), (16, "A" * 5000), (17, "  leading and trailing  "), (-3, BASE.upper()),
+    (13, BASE), (14, "start of it " + BASE + " end of it"), (15, BASE + " tail"), (16, "A" * 5000), (17, "  leading and trailing  "), (-3, BASE.upper()), (18, "hello <|endoftext|> world <|endoftext|>"),
 ]
 #: Names that operators use inside or return.
 CLASH = ["keep_id", "kept", "h", "fp", "id", "t", "score", "component_id", "n_words", "ids", "start", "rid", "again", "__h", "component", "digest", "least"]
@@ -328,7 +329,6 @@ def test_tokens(spark, edge, docs, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     for df, source in ((edge, EDGE), (docs, rows)):
         manifest, _ = token_binary.write_tokens(df, BPE, file_ids=5000)
         want, at = [], 0
@@ -345,7 +345,6 @@ def test_pieces_between_spaces():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(BPE)
-    t.encode_special_tokens = True
     rng = random.Random(1)
     texts = ["".join(rng.choice(["a", "B", " ", "  ", "\n", "é", "'s", "1", ".", ",", "\u00a0", "<|endoftext|>", "the", "\t"]) for _ in range(40)) for _ in range(400)]
     e = token_binary.PieceEncoder(BPE, max_pieces=50, max_piece=6)
@@ -372,6 +371,8 @@ def test_token_file_random_access():
     assert f.doc_ids() == [None, 3, 3, 9] and f.document(2).tolist() == [0, 1, 2, 3, 4] and len(f.document(1)) == 0
     with pytest.raises(ValueError):
         token_binary.TokenFile(b"".join(parts)[:-1])
+    with pytest.raises(ValueError):
+        token_binary.pack_documents([1], [np.array([1, 1 << 16], "<u4").tobytes()], 2)
 
 
 # 7 ---------------------------------------------------------------------------
@@ -467,6 +468,21 @@ def test_pieces(spark, edge, docs, rows):
     assert pieces.encode_documents(edge.limit(0), SP).count() == 0
 
 
+def test_long_and_spaced_texts_take_linear_time():
+    m = pieces._model(SP)
+    for text in ("a" + " " * 300_000 + "b", "ab  " * 300_000, "A" * 300_000, "ab c" * 300_000, "\u2581" * 300_000):
+        began = time.process_time()
+        ids = m.encode(text)
+        assert time.process_time() - began < 30 and m.decode(ids) == text
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(st.sampled_from(list("abethonsr ,.T")), max_size=40))
+def test_pieces_are_those_of_merging(text):
+    m = pieces._model(SP)
+    assert np.frombuffer(m.encode(text), "<u4").tolist() == brute.merge_pieces(m.pieces, text)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(st.sampled_from(list("abetho ▁\0é\n梦,.T")), max_size=60) | st.text(max_size=30))
 def test_pieces_round_trip(text):
