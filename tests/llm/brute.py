@@ -161,3 +161,24 @@ def merge_pieces(pieces, text):
             return [ids[s][0] for s in symbols]
         k = min(pairs)[1]
         symbols[k : k + 2] = [symbols[k] + symbols[k + 1]]
+
+
+def overlaps(docs, items, short_items, min_tokens=6, stretch=13, similarity=0.8):
+    """Every item laid against every document at every shift."""
+    cut = lambda t: re.findall(r"\w+", (t or "").lower())
+    out = []
+    for d, text in docs:
+        t = cut(text)
+        for i, x in items:
+            x = cut(x)
+            n = min(stretch, len(x)) if len(x) >= min_tokens else len(x)
+            least = math.ceil(similarity * n - 1e-9) if len(x) >= min_tokens else n
+            best = None
+            for shift in range(n - len(x), len(t) - n + 1) if n and (short_items or len(x) >= min_tokens) else ():
+                lo, hi = max(0, -shift), min(len(x), len(t) - shift)
+                same = [x[k] == t[k + shift] for k in range(lo, hi)]
+                if any(sum(same[k : k + n]) >= least for k in range(len(same) - n + 1)) and sum(same) > (best[0] if best else 0):
+                    best = sum(same), sum(same) / len(x), max(0, shift)
+            if best:
+                out.append((d, i, *best))
+    return out

@@ -274,44 +274,78 @@ def test_decontaminate(spark, docs):
     ]
     d = spark.createDataFrame(made, "doc_id long, text string")
     b = spark.createDataFrame([*items, (9, None), (10, "")], "item_id long, text string")
-    for block in (2, 20_000):
-        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(d, b, block_items=block).collect()}
+    for size in (2, 20_000):
+        got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_overlaps(d, b, seeds_per_file=size).collect()}
         assert got == {(1, 0), (2, 0), (3, 1), (5, 3), (None, 2), (11, 0), (13, 0), (13, 1)}
-        assert {r["doc_id"] for r in decontaminate.drop_contaminated(d, b, block_items=block).collect()} == {4, 6, 7, 8, 10, 12}
+        assert {r["doc_id"] for r in decontaminate.drop_contaminated(d, b, seeds_per_file=size).collect()} == {4, 6, 7, 8, 10, 12}
     assert decontaminate.find_overlaps(d.limit(0), b).count() == 0 and decontaminate.find_overlaps(d, b.limit(0)).count() == 0
 
 
+def fits(items, text, min_tokens=6, stretch=13, similarity=0.8, short_items=False):
+    """Items of which the text has an overlap."""
+    t = decontaminate.tokens(text)
+    plans = {i: (x, *decontaminate.plan(len(x), min_tokens, stretch, similarity, short_items)) for i, x in ((i, decontaminate.tokens(x)) for i, x in items)}
+    return {i for i, (x, *how) in plans.items() if decontaminate.overlap(t, x, *how)}
+
+
 def test_decontaminate_finds_all_within_the_threshold():
     for n in range(6, 16):
         item = [f"w{i}" for i in range(n)]
-        index = decontaminate.SeedIndex([(1, " ".join(item))], 6, 13, 0.8)
+        items = [(1, " ".join(item))]
         for k in range(4):
             for gone in itertools.combinations(range(n), k):
                 text = " ".join(["a", "b"] + ["x" if i in gone else w for i, w in enumerate(item)] + ["c"])
                 need = min(n, 13)
                 want = any(sum(s <= i < s + need for i in gone) <= need / 5 for s in range(n - need + 1))
-                assert bool(index.overlaps(text)) == want, (n, gone)
+                assert bool(fits(items, text)) == want, (n, gone)
     # a part of 13 tokens of a longer item, cut off by others at both ends
     item = [f"w{i}" for i in range(30)]
-    index = decontaminate.SeedIndex([(1, " ".join(item))], 6, 13, 0.8)
+    items = [(1, " ".join(item))]
     for gone in itertools.combinations(range(13), 2):
-        assert index.overlaps(" ".join(["a"] * 9 + ["x" if i in gone else w for i, w in enumerate(item[8:21])] + ["c"] * 9)), gone
+        assert fits(items, " ".join(["a"] * 9 + ["x" if i in gone else w for i, w in enumerate(item[8:21])] + ["c"] * 9)), gone
 
 
 @pytest.mark.parametrize(("stretch", "similarity"), [(9, 0.7), (16, 0.75), (7, 1.0), (5, 0.5)])
 def test_decontaminate_other_thresholds(stretch, similarity):
     item = [f"w{i}" for i in range(stretch)]
-    index = decontaminate.SeedIndex([(1, " ".join(item))], 3, stretch, similarity)
     for k in range(stretch - decontaminate.needed(stretch, similarity) + 1):
         for gone in itertools.combinations(range(stretch), k):
-            assert index.overlaps(" ".join("x" if i in gone else w for i, w in enumerate(item))), gone
+            assert fits([(1, " ".join(item))], " ".join("x" if i in gone else w for i, w in enumerate(item)), 3, stretch, similarity), gone
 
 
 def test_short_items_match_whole_and_exact():
-    index = decontaminate.SeedIndex([(1, "What is it?"), (2, "yes"), (3, "")], 6, 13, 0.8, True)
-    assert {i for i, *_ in index.overlaps("so what is it then")} == {1}
-    assert {i for i, *_ in index.overlaps("Yes, what was it")} == {2}
-    assert index.overlaps("") == []
+    items = [(1, "What is it?"), (2, "yes"), (3, "")]
+    assert fits(items, "so what is it then", short_items=True) == {1}
+    assert fits(items, "Yes, what was it", short_items=True) == {2}
+    assert fits(items, "", short_items=True) == set()
+
+
+@pytest.mark.parametrize(("seeds_per_file", "short"), [(2, True), (1 << 24, False)])
+def test_overlaps_agree_with_brute_force(spark, seeds_per_file, short):
+    rng = random.Random(6)
+    say = lambda n, k=30: " ".join(f"w{rng.randrange(k)}" for _ in range(n))
+    items = [(i, say(n)) for i, n in enumerate((3, 5, 6, 7, 9, 12, 13, 14, 20, 35))] + [(20, "same " * 20), (20, "same " * 20), (21, "ab cd " * 12), (22, None), (23, "")]
+    made = [(i, say(rng.randrange(60), 30)) for i in range(60)] + [(70, "same " * 500), (71, "same " * 500), (72, "cd ab " * 90 + "same " * 19), (73, None), (74, ""), (None, "same " * 20)]
+    for i, (_, x) in enumerate(items[:10]):
+        w = x.split()
+        made += [(100 + i, f"{say(9)} {x.upper()} {say(4)}"), (100 + i, " ".join(w[1:])), (None, x), (200 + i, " ".join("zz" if k % 6 == 2 else v for k, v in enumerate(w)))]
+    d = spark.createDataFrame([(*r, "x", 1, "y") for r in made], "doc_id long, text string, rid string, hits long, item string").repartition(3)
+    b = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, iid string")
+    got = decontaminate.find_overlaps(d, b, short_items=short, seeds_per_file=seeds_per_file)
+    assert got.columns == ["doc_id", "item_id", "n_matched", "share", "start"]
+    assert key(tuples(got)) == key(brute.overlaps(made, items, short))
+    kept = decontaminate.drop_contaminated(d, b, seeds_per_file=seeds_per_file)
+    assert kept.columns == d.columns
+    dirty = {t for t in {t for _, t in made} if brute.overlaps([(0, t)], items, False)}
+    assert key(tuples(kept, "doc_id", "text")) == key(r for r in made if r[1] not in dirty)
+
+
+def test_overlaps_of_very_long_texts():
+    how = decontaminate.plan(500, 6, 13, 0.8, False)
+    for text, item in (("same " * 10**6, "same " * 500), ("same " * 10**6, "same " * 499 + "end"), ("ab cd " * 200_000, "ab cd " * 249 + "x y")):
+        began = time.process_time()
+        found = decontaminate.overlap(decontaminate.tokens(text), decontaminate.tokens(item), *how)
+        assert found[0] >= 498 and time.process_time() - began < 60
 
 
 def test_decontaminate_whole_items(spark, docs, rows):
