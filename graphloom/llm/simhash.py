@@ -39,6 +39,7 @@ from graphloom.session import materialize
 
 BITS = 64
 BLOCK = 1 << 15
+TASK_LEAVES = 1_000_000  # to a task, about
 
 
 def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
@@ -147,19 +148,16 @@ class Forest:
                 self.b.append(y)
 
 
-def _join_task(budget: int):
-    """Walk all subtrees that were dealt to this task: (rot, deep, na, nb, side, fp).
+def _join_task(budget: int, leaves: int):
+    """Walk the subtrees that were dealt to this task: (rot, deep, block, na, nb, fp),
+    in order, whole subtrees of about so many leaves at a time.
 
     deep counts the levels below the top block at which a large node was cut;
     na and nb are the paths of the two nodes over those levels.
     """
     blocks = rotations(budget)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cols = [np.concatenate(x) for x in zip(*([b.column(i).to_numpy() for i in range(5)] for b in batches if b.num_rows))]
-        if not cols:
-            return
-        rot, deep, na, nb, fp = cols
+    def walk(rot, deep, na, nb, fp) -> Iterator[pa.RecordBatch]:
         for r, (shift, width) in enumerate(blocks):
             for d in np.unique(deep[rot == r]):
                 at = (rot == r) & (deep == d)
@@ -184,6 +182,25 @@ def _join_task(budget: int):
                 back = _rotl(v, (BITS - shift) % BITS).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(back[np.array(x, dtype=np.int64)], pa.int64()) for x in (forest.a, forest.b)], names=["a", "b"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        for b in batches:
+            cols = [b.column(i).to_numpy() for i in range(6)]
+            if not len(cols[0]):
+                continue
+            held.append(cols)
+            if sum(len(h[0]) for h in held) < leaves:
+                continue
+            # all but the last group are complete
+            cols = [np.concatenate(x) for x in zip(*held)]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols[:5]], axis=0)) + 1
+            cut = int(new[-1]) if len(new) else 0
+            if cut:
+                yield from walk(*(cols[i][:cut] for i in (0, 1, 3, 4, 5)))
+            held = [[c[cut:] for c in cols]]
+        if held:
+            yield from walk(*(np.concatenate([h[i] for h in held]) for i in (0, 1, 3, 4, 5)))
+
     return run
 
 
@@ -227,7 +244,7 @@ def _deal(budget: int):
     return run
 
 
-def near_fingerprints(fps: DataFrame, budget: int = 2, max_leaves: int = 100_000) -> DataFrame:
+def near_fingerprints(fps: DataFrame, budget: int = 2, max_leaves: int = 100_000, walk: int = 200_000) -> DataFrame:
     """Edges (a, b) between distinct fingerprints that join all linked ones.
 
     fps: one column fp of distinct longs. The edges hold a spanning forest of
@@ -243,13 +260,16 @@ def near_fingerprints(fps: DataFrame, budget: int = 2, max_leaves: int = 100_000
     large = materialize(large, "simhash-large")  # so that the join can split a hot block
     leaves = tries.join(large, ["rot", "block"], "left").select("fp", "rot", F.coalesce("cut", F.lit(0)).alias("deep"))
     dealt = leaves.mapInArrow(_deal(budget), "rot int, deep int, na long, nb long, fp long, block long")
-    tasks = dealt.repartition("rot", "block", "na", "nb").select("rot", "deep", "na", "nb", "fp")
-    return tasks.mapInArrow(_join_task(budget), "a long, b long").distinct()
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), fps.count() * (budget + 1) // TASK_LEAVES)
+    keys = ["rot", "block", "na", "nb"]
+    tasks = dealt.repartition(n, *keys).select("rot", "deep", "block", "na", "nb", "fp").sortWithinPartitions("rot", "deep", "block", "na", "nb")
+    return tasks.mapInArrow(_join_task(budget, walk), "a long, b long").distinct()
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, budget: int = 2, max_leaves: int = 100_000) -> DataFrame:
     """One row per document: id, fingerprint (hex), component_id (least id)."""
-    f = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).mapInArrow(_fingerprints(width), "id long, fp long"), "simhash")
+    kind = docs.schema[id_col].dataType.simpleString()
+    f = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t")).mapInArrow(_fingerprints(width), f"id {kind}, fp long"), "simhash")
     leaves = materialize(f.groupBy("fp").agg(F.min("id").alias("least")), "simhash-leaves")
     comps = materialize(connected_components(near_fingerprints(leaves.select("fp"), budget, max_leaves)), "simhash-components")
     named = leaves.join(comps.withColumnRenamed("node", "fp"), "fp", "left")

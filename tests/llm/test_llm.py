@@ -78,12 +78,12 @@ def test_sql(spark, name):
 # 1 ---------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("max_bits", [exact_dedup.MAX_BITS, 8])
-def test_exact(edge, docs, rows, max_bits):
+@pytest.mark.parametrize("per_row", [exact_dedup.COUNTERS, 1, 1 << 14])
+def test_exact(edge, docs, rows, per_row):
     cols = ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    assert key(tuples(exact_dedup.exact_dedup(edge), *cols)) == key(brute.exact(EDGE))
-    assert key(tuples(exact_dedup.exact_dedup(docs), *cols)) == key(brute.exact(rows))
-    assert exact_dedup.exact_dedup(edge.limit(0)).count() == 0
+    assert key(tuples(exact_dedup.exact_dedup(edge, per_row=per_row), *cols)) == key(brute.exact(EDGE))
+    assert key(tuples(exact_dedup.exact_dedup(docs, per_row=per_row), *cols)) == key(brute.exact(rows))
+    assert exact_dedup.exact_dedup(edge.limit(0), per_row=per_row).count() == 0
 
 
 def test_exact_keeps_rows(edge):
@@ -95,11 +95,18 @@ def test_exact_keeps_rows(edge):
     assert exact_dedup.keep_first(edge.limit(0)).count() == 0
 
 
-def test_exact_small_filter_is_full(edge):
-    # a filter of the least size over many rows has false positives only
+@pytest.mark.parametrize("outer", [0, 3])
+def test_filter_marks_repeated_digests_only(edge, outer):
     digests = edge.select(exact_dedup.text_digest(F.col("text")).alias("h"))
-    packed = exact_dedup.repeated_filter(digests, 1 << exact_dedup.SEGMENT_BITS)
-    assert 0 < np.unpackbits(packed).sum() <= exact_dedup.N_HASHES * 5
+    files = exact_dedup.repeated_filter(digests, outer, 18)
+    set_bits = sum(np.unpackbits(exact_dedup.mapped(f)).sum() for f in files.values())
+    assert 0 < set_bits <= exact_dedup.N_HASHES * 5
+
+
+def test_filter_grows_with_the_rows():
+    assert exact_dedup.layout(0) == (0, 10) and exact_dedup.layout(10**6) == (5, 18)
+    assert exact_dedup.layout(10**10) == (14, 23) and exact_dedup.layout(10**12) == (18, 25)
+    assert all(sum(exact_dedup.layout(10**k)) >= k * 3.3 + 3 for k in range(3, 14))
 
 
 # 2 ---------------------------------------------------------------------------
@@ -114,8 +121,8 @@ def test_simhash(edge, docs, rows):
     assert key(r["doc_id"] for r in kept.collect()) == key(i for i, _, c in brute.simhash(EDGE) if i is None or i == c)
 
 
-@pytest.mark.parametrize("max_leaves", [3, 100_000])
-def test_trie_join(spark, max_leaves):
+@pytest.mark.parametrize(("max_leaves", "walk"), [(3, 200_000), (100_000, 200_000), (3, 1), (100_000, 50)])
+def test_trie_join(spark, max_leaves, walk):
     rng = random.Random(5)
     values = {rng.getrandbits(64) for _ in range(60)}
     for v in list(values)[:12]:  # chains and dense groups around some of them
@@ -124,7 +131,7 @@ def test_trie_join(spark, max_leaves):
             values.add(v ^ (1 << rng.randrange(64)) if rng.random() < 0.5 else v)
     values |= {(1 << 63) | rng.getrandbits(20) for _ in range(150)}  # one hot block
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    edges = simhash.near_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, max_leaves).collect()
+    edges = simhash.near_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, max_leaves, walk).collect()
     adj = {}
     for a, b in ((r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in edges):
         assert (a ^ b).bit_count() <= 2
