@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.exact_dedup import maybe_repeated
 from graphloom.llm.files import open_file, write_file
 from graphloom.session import materialize, new_path
 
@@ -137,13 +138,13 @@ def train_dictionary(pages: DataFrame, id_col: str, html_col: str, pages_sampled
     """A dictionary from about ``pages_sampled`` pages of ``sample_bytes``.
 
     Pages are chosen by a hash of their ids, where they are read, so that only
-    these reach the driver. The dictionary changes the size of archives, never
+    these reach the driver, four times as many at most where ids repeat. The dictionary changes the size of archives, never
     what is read back. Too little text to train on gives no dictionary.
     """
     share = min(1.0, pages_sampled / max(1, pages.count()))
     k = F.pmod(F.xxhash64(id_col), F.lit(1 << 30))
     chosen = pages.where(F.col(id_col).isNotNull() & (k < int(share * (1 << 30))))
-    rows = chosen.select(k.alias("k"), F.substring(F.coalesce(html_col, F.lit("")), 1, sample_bytes).alias("t")).collect()
+    rows = chosen.select(k.alias("k"), F.substring(F.coalesce(html_col, F.lit("")), 1, sample_bytes).alias("t")).limit(4 * pages_sampled).collect()
     rows.sort(key=lambda r: (r["k"], r["t"]))
     samples = [r["t"].encode() for r in rows if r["t"]]
     try:
@@ -185,9 +186,12 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     spark = pages.sparkSession
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("size"), F.sha2(html, 256).alias("digest"))
-    groups = rows.where(F.col("size") >= min_bytes).groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1")
+    keys = materialize(rows.where(F.col("size") >= min_bytes).select("id", F.unhex("digest").alias("h")), "warc-digests")
+    flag = (F.col("size") >= min_bytes) & maybe_repeated(keys.select("h"), keys.count())(F.unhex("digest"))
+    groups = keys.groupBy(F.lower(F.hex("h")).alias("digest")).agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = materialize(groups, "warc-groups")  # so that the join can split a hot digest
-    full = rows.join(groups, "digest", "left")
+    # pages that are alone in their payload stay where they are read
+    full = rows.where(~flag).withColumn("least", F.lit(None).cast("long")).unionByName(rows.where(flag).join(groups, "digest", "left"))
     revisit = F.col("least").isNotNull() & ~F.col("least").eqNullSafe(F.col("id"))
     full = full.select("id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "size", "digest", F.when(revisit, F.col("least")).alias("first"))
     folder = new_path(spark, "warc")
