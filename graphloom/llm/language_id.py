@@ -14,12 +14,13 @@ letter of its own language only.
 Phrases end at every ``BLOCK`` symbols, so that all blocks of a batch of texts,
 whole texts throughout, are parsed in step with array operations.
 
-The labelled sample is bounded: of each language ``docs_per_language`` documents, chosen by a hash of the id, and of each
-``chars_per_doc`` characters from its middle.
+The labelled sample is bounded: of each language ``docs_per_language`` documents,
+chosen by a hash of the row, and of each ``chars_per_doc`` characters from its middle.
 
 Defined results: text that is null or has no letter gives ``und`` with score 0, as
 does any text when nothing was learned; rows with a null id are predicted, are
-not held out, and are not learned from; an empty table gives no rows. Extra
+not held out, and are not learned from; repeated rows are predicted each and learned
+once; texts of any length are parsed whole; an empty table gives no rows. Extra
 columns do not matter, the result has the id and its own columns only.
 """
 
@@ -217,13 +218,13 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     if not counts:
         return {}
     shares = F.from_json(F.lit(json.dumps({r["l"]: min(1.0, 2 * docs_per_language / r["count"]) for r in counts})), "map<string,double>")
-    hashed = F.xxhash64(F.col(id_col), F.lit(3))
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(3))
     size = F.length(text_col)
     picked = rows.where(F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30)) < F.try_element_at(shares, F.col(lang_col))).select(
         F.col(lang_col).alias("l"), hashed.alias("k"), F.substring(F.col(text_col), F.greatest(F.lit(1), F.floor((size - chars_per_doc) / 2) + 1).cast("int"), F.lit(chars_per_doc)).alias("t")
     )
     chosen: dict[str, list[tuple[int, str]]] = {}
-    for r in picked.collect():
+    for r in picked.distinct().collect():  # repeated rows would be chosen together
         chosen.setdefault(r["l"], []).append((r["k"], r["t"]))
     return {l: " ".join(t for _, t in sorted(v)[:docs_per_language]) for l, v in chosen.items()}
 

@@ -182,3 +182,29 @@ def overlaps(docs, items, short_items, min_tokens=6, stretch=13, similarity=0.8)
             if best:
                 out.append((d, i, *best))
     return out
+
+
+def languages(rows, samples, block):
+    """Phrases by searching the samples; (language, score) by id."""
+    flat = lambda t: re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in (t or "").lower()))
+    samples = {k: flat(t) for k, t in sorted(samples.items())}
+
+    def phrases(text, sample):
+        n = i = 0
+        while i < len(text):
+            j = i + 1
+            while j < len(text) and text[i : j + 1] in sample:
+                j += 1
+            n, i = n + 1, j
+        return n
+
+    out = {}
+    for i, t in rows:
+        t = flat(t)
+        if not t.strip():
+            out[i] = ("und", 0.0)
+            continue
+        bits = [sum(phrases(t[k : k + block], s) for k in range(0, len(t), block)) * math.log2(max(2, len(s))) / len(t) for s in samples.values()]
+        least = min(bits)
+        out[i] = (list(samples)[bits.index(least)], max(0.0, 1 - least / ((sum(bits) - least) / (len(bits) - 1))))
+    return out

@@ -158,6 +158,15 @@ def test_language_held_out(spark):
     assert n > 200 and right / n > 0.97
 
 
+def test_language_agrees_with_brute_force(docs, rows):
+    samples = language_id.labelled_sample(docs, "doc_id", "text", "lang", 64, 600)
+    assert len(samples) == 4 and max(len(t or "") for _, t in rows) > 10 * language_id.BLOCK
+    want = brute.languages(rows, samples, language_id.BLOCK)
+    for r in language_id.identify(docs).collect():
+        name, score = want[r["doc_id"]]
+        assert r["lang_pred"] == name and r["score"] == pytest.approx(score, rel=1e-9)
+
+
 def test_language_edges(spark, edge):
     out = language_id.identify(edge).collect()
     assert key(r["doc_id"] for r in out) == key(i for i, _ in EDGE)
@@ -595,7 +604,7 @@ HTML = [(1, None), (2, ""), (3, "x" * 99), (4, "x" * 99), (5, "y" * 100), (6, "y
 
 
 def test_warc(spark):
-    pages = spark.createDataFrame([(i, None if i == 3 else f"http://h/{i}\r\nX: 1%0A", h, "x") for i, h in HTML], "page_id long, url string, html string, digest string").repartition(3)
+    pages = spark.createDataFrame([(i, None if i == 3 else f"http://h/{i}\r\nX: 1%0A", h, "x") for i, h in HTML], "page_id long, url string, html string, digest string").withColumns({c: F.lit("x") for c in ("id", "size", "least", "first", "h", "n")}).repartition(3)
     out = warc.read_archives(warc.write_archives(pages, max_bytes=2000)).collect()
     cols = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     assert key(tuple(r[c] for c in cols) for r in out) == key(brute.archive(HTML))
