@@ -78,7 +78,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Pieces of a model file, and encoding and decoding with them."""
 
-    def __init__(self, path: str, max_segments: int = 120_000, max_segment: int = 48):
+    def __init__(self, path: str, max_segments: int = 160_000, max_segment: int = 48):
         self.pieces: list[tuple[str, float, int]] = []
         self.kind = UNIGRAM
         with open(path, "rb") as f:
