@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import materialize
+from graphloom.sources.snapshots import SnapshotStore
+
 # Messages that mark an error as permanent.
 PERMANENT = ("permission denied", "not found", "invalid utf", "is a directory")
 
@@ -48,6 +51,62 @@ def apply_changes(table: DataFrame, changes: DataFrame, fresh: DataFrame, key: s
     return table.join(gone, key, "left_anti").unionByName(fresh.join(live, key, "left_semi"))
 
 
+class IncrementalIndex:
+    """An index kept in step with a set of files, in a folder of the shared store.
+
+    A run compares the files with the saved state, prepares only what was added or
+    modified, drops what was deleted, and saves state, rows and the log of changes
+    under the run's number; the pointer to it is set last, so that a run that is
+    broken off leaves the one before in place. Without a change nothing is written.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, prepare):
+        self.store = SnapshotStore(spark, root)
+        self.spark, self.prepare = spark, prepare
+
+    def open(self) -> DataFrame | None:
+        """(path, content_hash, run, and what ``prepare`` made) as of the last run."""
+        tables = self.store.open()
+        return tables["rows"].join(tables["state"].select("path", "content_hash"), "path") if tables else None
+
+    def log(self) -> DataFrame:
+        """(run, path, change) of all runs."""
+        return self.store.open()["log"]
+
+    def runs(self) -> int:
+        tables = self.store.open()
+        return int(tables["log"].agg(F.max("run")).first()[0] or 0) if tables else 0
+
+    def update(self, files: DataFrame) -> int:
+        """Bring the index up to (path, content); the number of changes."""
+        old, state = self.store.open(), materialize(file_state(files), "file-state")
+        run = self.runs() + 1
+        before = old["state"] if old else state.limit(0)
+        changes = materialize(diff(before, state), "changes")
+        if not (n := changes.count()) and old:
+            return 0
+        live = changes.where("change IN ('added', 'modified')")
+        fresh = self.prepare(files.join(live.select("path"), "path", "left_semi")).withColumn("run", F.lit(run))
+        rows = apply_changes(old["rows"], changes, fresh) if old else fresh
+        log = changes.select(F.lit(run).alias("run"), "path", "change")
+        log = old["log"].unionByName(log) if old else log
+        self.store.build("index", f"{run}:{root_hash(state).first()[0]}", {"state": state, "rows": rows, "log": log})
+        return n
+
+    def repair(self, files: DataFrame) -> int:
+        """Prepare files anew whose rows are missing; how many there were."""
+        old = self.store.open()
+        if old is None:
+            return self.update(files)
+        lost = materialize(old["state"].join(old["rows"].select("path").distinct(), "path", "left_anti").select("path"), "lost")
+        if n := lost.count():
+            run = self.runs() + 1
+            fresh = self.prepare(files.join(lost, "path", "left_semi")).withColumn("run", F.lit(run))
+            log = old["log"].unionByName(lost.select(F.lit(run).alias("run"), "path", F.lit("repaired").alias("change")))
+            self.store.build("index", f"{run}:repair", {"state": old["state"], "rows": old["rows"].unionByName(fresh), "log": log})
+        return n
+
+
 def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     """Rows by key: the new ones where there are any."""
     return table.join(rows.select(key), key, "left_anti").unionByName(rows)

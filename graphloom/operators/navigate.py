@@ -9,11 +9,12 @@ from graphloom.operators.graph import Graph
 
 
 def find_definition(g: Graph, name: str, exact: bool = False) -> DataFrame:
-    """Items by name, exact matches first."""
+    """Items by name, exact matches first, then by full name and place."""
     low = F.lower("display_name")
     hit = F.col("display_name") == name if exact else low.contains(name.lower())
     rows = g.nodes.where(F.col("kind") == "Item").where(hit)
-    return rows.select(F.col("qualified_name").alias("item"), (F.col("display_name") == name).alias("is_exact"), "file", F.col("span_start").alias("start"))
+    rows = rows.select(F.col("qualified_name").alias("item"), (F.col("display_name") == name).alias("is_exact"), "file", F.col("span_start").alias("start"))
+    return rows.orderBy(F.desc("is_exact"), "item", "file", "start")
 
 
 def references(g: Graph, name: str, limit: int = 50) -> DataFrame:

@@ -26,11 +26,14 @@ def fuse(text: DataFrame, vector: DataFrame, limit: int | None = 10, k: int = RR
 
 
 def resilient(text, vector, limit: int = 10) -> DataFrame:
-    """Fuse two searches, given as functions; if one fails, the other's list."""
+    """Fuse two searches, given as functions; if one fails, the other's list.
+
+    Each search is run and written here, so that failures while it runs count.
+    """
     found, errors = [], []
     for search in (text, vector):
         try:
-            found.append(search())
+            found.append(materialize(search(), "search"))
         except Exception as e:  # noqa: BLE001  either search may be down
             errors.append(e)
             found.append(None)

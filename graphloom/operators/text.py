@@ -5,23 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Patterns of the body audit.
-BODY_PATTERNS = {
-    "unwrap": r"\.unwrap\(\)", "expect": r"\.expect\(", "panic_macros": r"\b(panic|todo|unimplemented|unreachable)!",
-    "unwrap_unchecked": r"\.unwrap_unchecked\(", "transmute": r"\btransmute\b", "unbounded_loop": r"\bloop\s*\{",
+# Names of the body audit's patterns, and calls that it looks for.
+BODY_PATTERNS = ("unwrap", "expect", "panic_macros", "unwrap_unchecked", "transmute", "await_in_guard_scope", "self_recursion", "unbounded_loop")
+CALLS = {
+    "unwrap": r"\.\s*unwrap\s*\(", "expect": r"\.\s*expect\s*\(", "panic_macros": r"\b(?:panic|unreachable|todo|unimplemented)!",
+    "unwrap_unchecked": r"\.\s*(?:unwrap_unchecked|unwrap_err_unchecked)\s*\(", "transmute": r"\btransmute(?:::<[^()]*>)?\s*\(",
 }
+# What tells that a binding holds a lock.
+GUARDS = ("MutexGuard", "RwLockReadGuard", "RwLockWriteGuard", "Guard", "Ref<", "RefMut<", ".lock()", ".read()", ".write()")
+BLOCK = r"\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}"  # braces to a depth of three
+LOOP, EXIT = rf"\bloop\s*({BLOCK})", r"\b(?:break|return)\b|\?"
+GUARDED = r"(?s)\blet\b[^;]*(?:" + "|".join(g.replace(".", r"\.").replace("(", r"\(").replace(")", r"\)") for g in GUARDS) + r")[^;]*;(.*)$"
 # What the cyclomatic estimate counts, as plain substrings.
 BRANCHES = ("if", "else if", "while", "for", "match", "&&", "||")
 K1, B = 1.2, 0.75
 
 
 def line_offsets(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, start, bytes): byte offset of every line, from 0."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "content"))
-    size = F.octet_length("content").cast("long")
-    before = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size + 1).over(before), F.lit(0)).cast("long")
-    return lines.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), start.alias("start"), size.alias("bytes"))
+    """(doc_id, line, start, bytes): byte offset of every line, from 0.
+
+    Offsets follow from where the line breaks are among the text's bytes, so
+    nothing is shuffled.
+    """
+    size = F.transform(F.split("text", "\n"), lambda x: F.octet_length(x).cast("long"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts"))
+    starts = F.aggregate("size", zero, lambda s, n: F.struct((s["at"] + n + 1).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")))["starts"]
+    rows = docs.select("doc_id", size.alias("size")).select("doc_id", F.posexplode(F.arrays_zip(starts.alias("start"), F.col("size").alias("bytes"))).alias("pos", "l"))
+    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), "l.start", "l.bytes")
 
 
 def line_of_byte(text: Column, offset: Column) -> Column:
@@ -30,9 +40,9 @@ def line_of_byte(text: Column, offset: Column) -> Column:
     return F.size(F.split(head, "\n")).cast("long")
 
 
-def snippet(text: Column, first_line: Column, lines: int = 5, max_bytes: int = 400) -> Column:
-    """At most five lines, cut to 400 bytes, from a 1-based line."""
-    return F.substring(F.array_join(F.slice(F.split(text, "\n"), first_line, F.lit(lines)), "\n"), 1, max_bytes)
+def snippet(text: Column, first_line: Column, lines: int = 5, max_chars: int = 400) -> Column:
+    """At most five lines, cut to 400 characters, from a 1-based line."""
+    return F.substring(F.array_join(F.slice(F.split(text, "\n"), first_line, F.lit(lines)), "\n"), 1, max_chars)
 
 
 def _count(line: Column, needle: str) -> Column:
@@ -57,32 +67,64 @@ def complexity(docs: DataFrame) -> DataFrame:
     return rows.withColumn("per_function", F.round(F.when(F.col("n_fn") == 0, F.lit(0.0)).otherwise(F.col("cyclomatic") / F.col("n_fn")), 6))
 
 
-def body_audit(docs: DataFrame, patterns: list[str] | None = None) -> DataFrame:
-    """(doc_id, pattern, hits) for every pattern that a text has."""
+def _known_patterns(patterns: list[str] | None) -> list[str]:
     names = patterns or list(BODY_PATTERNS)
     if unknown := set(names) - set(BODY_PATTERNS):
-        raise ValueError(f"unknown patterns: {sorted(unknown)}")
-    return pattern_counts(docs, {n: BODY_PATTERNS[n] for n in names})
+        raise ValueError(f"unknown patterns: {sorted(unknown)}; there are {', '.join(BODY_PATTERNS)}")
+    return names
 
 
-def pattern_counts(docs: DataFrame, patterns: dict[str, str]) -> DataFrame:
-    """(doc_id, pattern, hits) of regular expressions in a text."""
-    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), F.regexp_count("text", F.lit(p)).cast("long").alias("hits")) for n, p in patterns.items()])
+def _own_calls(text: Column) -> Column:
+    """A pattern for calls of the function that the text defines first."""
+    return F.concat(F.lit(r"\b"), F.regexp_extract(text, r"\bfn\s+(\w+)", 1), F.lit(r"\s*\("))
+
+
+def body_audit(docs: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """(doc_id, pattern, hits) for every pattern that the text of a function has.
+
+    Lexical: loops count unless they have a break, return or ``?`` in them, an
+    await if a binding of the text before it holds a lock, and calls of the
+    function's own name beyond its definition.
+    """
+    t, hits = F.col("text"), {}
+    for n in _known_patterns(patterns):
+        if n == "unbounded_loop":
+            hits[n] = F.size(F.filter(F.regexp_extract_all(t, F.lit(LOOP), F.lit(1)), lambda b: ~b.rlike(EXIT)))
+        elif n == "await_in_guard_scope":
+            hits[n] = F.regexp_count(F.regexp_extract(t, GUARDED, 1), F.lit(r"\.await\b"))
+        elif n == "self_recursion":
+            hits[n] = F.when(t.rlike(r"\bfn\s+\w+"), F.regexp_count(t, _own_calls(t)) - 1).otherwise(0)
+        else:
+            hits[n] = F.regexp_count(t, F.lit(CALLS[n]))
+    counts = F.array(*[F.struct(F.lit(n).alias("pattern"), c.cast("long").alias("hits")) for n, c in hits.items()])
     return docs.select("doc_id", F.explode(counts).alias("p")).select("doc_id", "p.*").where("hits > 0")
 
 
+def body_context(docs: DataFrame, patterns: list[str] | None = None) -> DataFrame:
+    """(doc_id, line, pattern, context): lines with a call that the audit looks
+    for, with the lines before and after."""
+    names = [n for n in _known_patterns(patterns) if n in CALLS]
+    lines = docs.select("doc_id", F.split("text", "\n").alias("ls"))
+    rows = lines.select("doc_id", "ls", F.posexplode("ls").alias("pos", "content"))
+    found = F.array_compact(F.array(*[F.when(F.col("content").rlike(CALLS[n]), F.lit(n)) for n in names]))
+    near = F.slice("ls", F.greatest(F.col("pos"), F.lit(1)), F.least(F.col("pos") + 2, F.lit(3)))
+    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), F.explode(found).alias("pattern"), F.array_join(near, "\n").alias("context"))
+
+
 def unsafe_blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, has_safety): ``unsafe {`` lines, and whether one of the
-    five lines before has SAFETY."""
+    """(doc_id, line, lines, has_safety): blocks that start with ``unsafe {``, how many
+    lines they have, and whether one of the five lines before has SAFETY."""
     lines = docs.select("doc_id", F.split("text", "\n").alias("ls"))
     rows = lines.select("doc_id", "ls", F.posexplode("ls").alias("pos", "content")).where(F.col("content").rlike(r"\bunsafe\s*\{"))
     near = F.slice("ls", F.greatest(F.col("pos") - 4, F.lit(1)), F.least(F.col("pos") + 1, F.lit(6)))
-    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), F.exists(near, lambda x: x.contains("SAFETY")).alias("has_safety"))
+    rest = F.array_join(F.slice("ls", F.col("pos") + 1, F.size("ls")), "\n")
+    size = F.size(F.split(F.regexp_extract(rest, rf"\bunsafe\s*({BLOCK})", 1), "\n")).cast("long")
+    return rows.select("doc_id", (F.col("pos") + 1).cast("long").alias("line"), size.alias("lines"), F.exists(near, lambda x: x.contains("SAFETY")).alias("has_safety"))
 
 
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits, up to 40 bytes long."""
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: (t != "") & (F.length(t) <= 40))
+    """Lower-cased runs of letters and digits, up to 40 bytes long."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & (F.octet_length(t) <= 40))
 
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:

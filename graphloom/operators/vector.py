@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_i
     queries: query_id, query_vector; a stated set, all compared with every row.
     """
     v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    pairs = v.crossJoin(F.broadcast(queries))  # the stated query set
+    pairs = v.crossJoin(queries)  # the stated query set; broadcast where its size is known to allow it
     score = F.round((1 + cosine(F.col("v"), F.col("query_vector"))) / 2, 6)
     return top_k(pairs.select("query_id", "id", score.alias("score")), k)
 
@@ -43,19 +46,38 @@ def overlap_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
 
     Ids are dealt to blocks of about ``block_rows`` rows, and every pair of blocks
     is a group of its own, so no task needs more than two blocks at a time and
-    the work, quadratic as it is, spreads over all tasks. With ``block_col`` only rows that differ in it
-    pair. Rows with equal vectors pair like any others.
+    the work, quadratic as it is, spreads over all tasks, as matrix products in
+    Arrow batches. With ``block_col`` only rows that differ in it pair. Rows with equal
+    vectors pair like any others.
     """
-    cols = [F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")] + ([F.col(block_col).alias("b")] if block_col else [])
-    blocks = max(8, -(-vectors.count() // block_rows))
-    rows = vectors.select(*cols).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    left = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("k <= o").withColumnsRenamed({c: f"{c}_a" for c in rows.columns})
-    right = rows.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).where("p <= k").withColumnsRenamed({c: f"{c}_b" for c in rows.columns})
-    pairs = left.join(right, (F.col("k_a") == F.col("p")) & (F.col("o") == F.col("k_b"))).where("k_a < k_b OR id_a < id_b")
-    if block_col:
-        pairs = pairs.where("b_a <> b_b")
-    pairs = pairs.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), F.round(dot(F.col("v_a"), F.col("v_b")), 6).alias("score"))
-    return pairs.where(F.col("score") >= threshold)
+    kind = vectors.schema[id_col].dataType.simpleString()
+    blocks = max(1, -(-vectors.count() // block_rows))
+    rows = vectors.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"), (F.col(block_col).cast("string") if block_col else F.lit(None).cast("string")).alias("b"))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    rows = rows.withColumns({"lo": F.least("k", "x"), "hi": F.greatest("k", "x")})
+
+    def joined(table: pa.Table) -> pa.Table:
+        ids, k = table["id"].combine_chunks(), table["k"].to_numpy()
+        lists = table["v"].combine_chunks()
+        width = max(lists.value_lengths().to_numpy(zero_copy_only=False), default=0)
+        v = np.zeros((len(ids), int(width)))
+        flat, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+        v[np.repeat(np.arange(len(ids)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+        lo, hi = table["lo"][0].as_py(), table["hi"][0].as_py()
+        left, right = np.flatnonzero(k == lo), np.flatnonzero(k == hi)
+        score = np.round(v[left] @ v[right].T, 6)
+        i, j = np.nonzero(score >= threshold)
+        s, i, j = score[i, j], left[i], right[j]
+        if lo == hi:
+            s, i, j = s[i < j], i[i < j], j[i < j]
+        a, b = ids.take(pa.array(i)), ids.take(pa.array(j))
+        if block_col:
+            group = np.array(table["b"].to_pylist(), dtype=object)
+            apart = pa.array(group[i] != group[j])
+            a, b, s = a.filter(apart), b.filter(apart), s[np.asarray(group[i] != group[j], bool)]
+        return pa.table({"id_a": pc.min_element_wise(a, b), "id_b": pc.max_element_wise(a, b), "score": pa.array(s)})
+
+    return rows.groupBy("lo", "hi").applyInArrow(joined, f"id_a {kind}, id_b {kind}, score double")
 
 
 def clusters(pairs: DataFrame) -> DataFrame:

@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import chunking
 from graphloom.functions.identity import node_id
-from graphloom.operators import incremental, relations, search, spans, surface, text, traverse, vector
+from graphloom.operators import incremental, navigate, relations, search, spans, surface, text, traverse, vector
 from graphloom.operators.graph import Graph, page
-from graphloom.plans.projection import documents_chunks, graph, oracle
-from graphloom.session import read_table
+from graphloom.plans.projection import documents_chunks, graph, oracle, sources
+from graphloom.session import materialize, new_path, read_table
+from graphloom.sources import filters
 from graphloom.streaming import windows
 
 ITEM, MODULE, OTHER, CRATE = "I0", "M0", "M1", "C3"
-#: Usages from this weight on count as evidence that an item is alive.
-MIN_WEIGHT = 45.0
 COSINE = 0.35
 RULES = (
     {"consumer": "NATION_1*", "producer": "NATION_2*", "severity": "error"},
@@ -267,11 +266,11 @@ def recursive_callers_count(g):
 @query(
     f"""WITH RECURSIVE walk AS (
         SELECT target AS id, 1 AS d FROM usages WHERE consumer_function = '{ITEM}'
-        UNION SELECT target, d + 1 FROM walk JOIN usages ON consumer_function = walk.id WHERE d < 2
+        UNION SELECT target, d + 1 FROM walk JOIN usages ON consumer_function = walk.id WHERE d < 3
     ) SELECT qualified_name AS callee, CAST(min(d) AS BIGINT) AS depth FROM walk JOIN nodes USING (id) GROUP BY nodes.id, 1"""
 )
 def call_graph_reach(g):
-    return traverse.call_graph(g, name_of(g, ITEM), 2)
+    return traverse.call_graph(g, name_of(g, ITEM), 3)
 
 
 @query(
@@ -314,19 +313,24 @@ def module_tree(g):
     SELECT s AS path, CAST(1 AS BIGINT) AS length FROM e WHERE s = t
     UNION ALL SELECT a.s || ' -> ' || a.t, 2 FROM e a JOIN e b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t
     UNION ALL SELECT a.s || ' -> ' || a.t || ' -> ' || b.t, 3 FROM e a JOIN e b ON b.s = a.t JOIN e c ON c.s = b.t AND c.t = a.s
-    WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t"""
+    WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t
+    UNION ALL SELECT a.s || ' -> ' || a.t || ' -> ' || b.t || ' -> ' || c.t, 4 FROM e a JOIN e b ON b.s = a.t JOIN e c ON c.s = b.t JOIN e d ON d.s = c.t AND d.t = a.s
+    WHERE a.s < a.t AND a.s < b.t AND a.s < c.t AND a.t <> b.t AND a.t <> c.t AND b.t <> c.t
+    UNION ALL SELECT a.s || ' -> ' || a.t || ' -> ' || b.t || ' -> ' || c.t || ' -> ' || d.t, 5
+    FROM e a JOIN e b ON b.s = a.t JOIN e c ON c.s = b.t JOIN e d ON d.s = c.t JOIN e f ON f.s = d.t AND f.t = a.s
+    WHERE a.s < a.t AND a.s < b.t AND a.s < c.t AND a.s < d.t AND a.t <> b.t AND a.t <> c.t AND a.t <> d.t AND b.t <> c.t AND b.t <> d.t AND c.t <> d.t"""
 )
 def recursion_check(g):
-    return traverse.recursion_check(g, 3)
+    return traverse.recursion_check(g, 5)
 
 
 # Surface and audits --------------------------------------------------------
 
-DEAD = f"""
+DEAD = """
     WITH seen AS (
         SELECT DISTINCT target, n.crate_id FROM (
             SELECT target, from_module AS m FROM bindings WHERE kind <> 'Declared'
-            UNION ALL SELECT target, consumer_module FROM usages WHERE weight >= {MIN_WEIGHT}
+            UNION ALL SELECT target, consumer_module FROM usages
         ) JOIN nodes n ON n.id = m
     ), dead AS (
         SELECT c.display_name AS crate_name, i.qualified_name AS item, i.item_kind
@@ -339,12 +343,12 @@ DEAD = f"""
 
 @query(f"{DEAD} SELECT * FROM dead WHERE crate_name = (SELECT display_name FROM nodes WHERE id = '{CRATE}')")
 def dead_pub_in_crate(g):
-    return surface.dead_pub(g, MIN_WEIGHT).where(F.col("crate_name") == name_of(g, CRATE))
+    return surface.dead_pub(g).where(F.col("crate_name") == name_of(g, CRATE))
 
 
 @query(f"{DEAD} SELECT display_name AS crate_name, CAST(count(item) AS BIGINT) AS dead FROM nodes LEFT JOIN dead ON crate_name = display_name WHERE kind = 'Crate' GROUP BY 1")
 def dead_pub_report(g):
-    return surface.dead_pub_report(g, MIN_WEIGHT)
+    return surface.dead_pub_report(g)
 
 
 NAMED = """WITH x AS (
@@ -554,31 +558,71 @@ def complexity_metrics(spark, sf_dir):
     return text.complexity(read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text")))
 
 
-AUDITED = {"links": r"<a href=", "paragraphs": r"<p>", "entities": r"&[a-z]+;"}
+def _hits(pattern: str) -> str:
+    return f"len(regexp_extract_all(body, '{pattern}'))"
 
 
-@query(
-    " UNION ALL ".join(f"SELECT page_id AS doc_id, '{n}' AS pattern, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS hits FROM pages WHERE regexp_matches(html, '{p}')" for n, p in AUDITED.items()),
-    on_graph=False,
-)
+BODY_SQL = f"""WITH s AS (SELECT id AS doc_id, body, regexp_extract(body, 'fn (\\w+)', 1) || '(' AS own FROM sources),
+    h AS (
+        {" UNION ALL ".join(f"SELECT doc_id, '{n}' AS pattern, {_hits(p)} AS hits FROM s" for n, p in text.CALLS.items())}
+        UNION ALL SELECT doc_id, 'unbounded_loop', len([b FOR b IN regexp_extract_all(body, '{text.LOOP}', 1) IF NOT regexp_matches(b, '{text.EXIT}')]) FROM s
+        UNION ALL SELECT doc_id, 'await_in_guard_scope', len(regexp_extract_all(regexp_extract(body, '{text.GUARDED}', 1), '\\.await\\b')) FROM s
+        UNION ALL SELECT doc_id, 'self_recursion', (length(body) - length(replace(body, own, ''))) // length(own) - 1 FROM s
+    )"""
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources(spark, sf_dir)
+
+
+def on_sources(sql: str):
+    """Register a query over the functions' source text."""
+    return query(oracle(sql), on_graph=False)
+
+
+@on_sources(f"{BODY_SQL} SELECT doc_id, pattern, CAST(hits AS BIGINT) AS hits FROM h WHERE hits > 0")
 def body_pattern_audit(spark, sf_dir):
-    pages = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("html").alias("text"))
-    return text.pattern_counts(pages, AUDITED)
+    return text.body_audit(_sources(spark, sf_dir))
 
 
-BM25_SQL = """WITH c AS (
-        SELECT doc_id AS id, [t FOR t IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF t <> '' AND length(t) <= 40] AS ts FROM documents
-    ), q AS (
-        SELECT item_id AS query_id, unnest(list_distinct([t FOR t IN regexp_split_to_array(lower(text), '[^a-z0-9]+') IF t <> '' AND length(t) <= 40])) AS token FROM benchmark
-    ), n AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM c),
-    e AS (SELECT id, len(ts) AS len, unnest(ts) AS token FROM c),
-    tf AS (SELECT id, len, token, count(*) AS tf FROM e WHERE token IN (SELECT token FROM q) GROUP BY ALL),
-    df AS (SELECT token, count(*) AS df FROM tf GROUP BY 1),
-    s AS (
+LINES_SQL = "WITH l AS (SELECT id AS doc_id, string_split(body, chr(10)) AS ls FROM sources), x AS (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS line FROM l)"
+
+
+@on_sources(
+    f"""{LINES_SQL}, p AS ({" UNION ALL ".join(f"SELECT doc_id, line, '{n}' AS pattern, ls FROM x WHERE regexp_matches(ls[line], '{p}')" for n, p in text.CALLS.items())})
+    SELECT doc_id, line, pattern, array_to_string(ls[greatest(line - 1, 1):line + 1], chr(10)) AS context FROM p"""
+)
+def body_audit_context(spark, sf_dir):
+    return text.body_context(_sources(spark, sf_dir))
+
+
+@on_sources(
+    f"""{LINES_SQL} SELECT doc_id, line, CAST(len(string_split(regexp_extract(array_to_string(ls[line:], chr(10)), '\\bunsafe\\s*({text.BLOCK})', 1), chr(10))) AS BIGINT) AS lines,
+    len([y FOR y IN ls[greatest(line - 5, 1):line] IF contains(y, 'SAFETY')]) > 0 AS has_safety FROM x WHERE regexp_matches(ls[line], '\\bunsafe\\s*\\{{')"""
+)
+def unsafe_audit(spark, sf_dir):
+    return text.unsafe_blocks(_sources(spark, sf_dir))
+
+
+def _tokens_sql(column: str) -> str:
+    return rf"[t FOR t IN regexp_split_to_array(lower({column}), '[^\p{{L}}\p{{N}}]+') IF t <> '' AND octet_length(encode(t)) <= 40]"
+
+
+def _bm25_sql(chunks: str, queries: str, name: str = "top") -> str:
+    """Common table expressions up to ``name`` (query_id, id, score, rank); chunks: id, content; queries: query_id, query."""
+    return f"""{name}_c AS (SELECT id, {_tokens_sql("content")} AS ts FROM ({chunks})),
+    {name}_q AS (SELECT query_id, unnest(list_distinct({_tokens_sql("query")})) AS token FROM ({queries})),
+    {name}_n AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM {name}_c),
+    {name}_e AS (SELECT id, len(ts) AS len, unnest(ts) AS token FROM {name}_c),
+    {name}_tf AS (SELECT id, len, token, count(*) AS tf FROM {name}_e WHERE token IN (SELECT token FROM {name}_q) GROUP BY ALL),
+    {name}_df AS (SELECT token, count(*) AS df FROM {name}_tf GROUP BY 1),
+    {name}_s AS (
         SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score
-        FROM tf JOIN df USING (token) JOIN q USING (token), n GROUP BY 1, 2
-    ), top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank FROM s)
-"""
+        FROM {name}_tf JOIN {name}_df USING (token) JOIN {name}_q USING (token), {name}_n GROUP BY 1, 2
+    ), {name} AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank FROM {name}_s)"""
+
+
+BM25_SQL = "WITH " + _bm25_sql("SELECT doc_id AS id, text AS content FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark")
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
@@ -648,14 +692,14 @@ def semantic_overlap_clusters(spark, sf_dir):
     return vector.clusters(vector.overlap_pairs(read_table(spark, sf_dir, "embeddings"), COSINE))
 
 
-# The two ranked lists of fusion: by vector, and by the share of equal signs.
+# Hybrid search: documents that have a vector and an id divisible by 100 are the
+# queries, by their text in BM25 over all documents and by their vector over all
+# vectors; a document's text and vector share its id.
 FUSED_SQL = (
     KNN_SQL.rstrip()
-    + f""", sg AS (
-        SELECT y.vec_id AS query_id, x.vec_id AS id, round(list_sum([CASE WHEN x.embedding[i] >= 0 AND y.embedding[i] >= 0 OR x.embedding[i] < 0 AND y.embedding[i] < 0 THEN 1.0 ELSE 0.0 END FOR i IN range(1, 65)]) / 64, 6) AS score
-        FROM embeddings x, embeddings y WHERE y.vec_id % 100 = 0
-    ), sgn AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sg),
-    t AS (SELECT query_id, id, rank AS rt FROM sgn WHERE rank <= 100), v AS (SELECT query_id, id, rank AS rv FROM knn WHERE rank <= 100),
+    + ", "
+    + _bm25_sql("SELECT doc_id AS id, text AS content FROM documents", "SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)")
+    + """, t AS (SELECT query_id, id, rank AS rt FROM top WHERE rank <= 100), v AS (SELECT query_id, id, rank AS rv FROM knn WHERE rank <= 100),
     f AS (
         SELECT k, query_id, id, round(coalesce(0.5 / (k + rt), 0) + coalesce(0.5 / (k + rv), 0), 8) AS score
         FROM (t FULL JOIN v USING (query_id, id)), (VALUES (10), (20), (40), (60), (80), (100)) ks(k)
@@ -679,12 +723,13 @@ QUALITY_SQL = (
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    v = read_table(spark, sf_dir, "embeddings")
-    asked = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    same = F.aggregate(F.zip_with("embedding", "q", lambda a, b: F.when((a >= 0) == (b >= 0), 1.0).otherwise(0.0)), F.lit(0.0), lambda s, x: s + x)
-    signs = v.crossJoin(F.broadcast(asked)).select("query_id", F.col("vec_id").alias("id"), F.round(same / 64, 6).alias("score"))  # the stated query set
+    """Of each query the 100 best by text and by vector, and what is relevant: vectors with its label."""
+    v, docs = read_table(spark, sf_dir, "embeddings"), read_table(spark, sf_dir, "documents")
+    asked = docs.where("doc_id % 100 = 0").join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
+    by_text = text.top_k(text.bm25(documents_chunks(docs), asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))), 100)
     mine = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return text.top_k(signs, 100), _knn(spark, sf_dir, 100), mine.join(v.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
+    relevant = mine.join(v.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
+    return materialize(by_text, "by-text"), materialize(_knn(spark, sf_dir, 100), "by-vector"), relevant
 
 
 @query(f"{FUSED_SQL} SELECT query_id, id, score, rank FROM fused WHERE k = 60 AND rank <= 10", on_graph=False)
@@ -704,8 +749,10 @@ def tune_k(spark, sf_dir):
     return search.tune_k(*_lists(spark, sf_dir))
 
 
+PROMPT = "which must_use functions derive Hash or Debug in NATION_3"
 SCORED_SQL = f"""WITH seed AS (SELECT '{ITEM}' AS id),
-    tx AS (SELECT id, round(CAST(length(display_name) AS DOUBLE) / 20, 6) AS text_score FROM nodes WHERE kind = 'Item'),
+    {_bm25_sql("SELECT id, qualified_name || ' ' || coalesce(attr_text, '') AS content FROM nodes WHERE kind = 'Item'", f"SELECT 0 AS query_id, '{PROMPT}' AS query", "bm")},
+    tx AS (SELECT nodes.id, coalesce(score, 0.0) AS text_score FROM nodes LEFT JOIN bm ON bm.id = nodes.id WHERE kind = 'Item'),
     e AS (SELECT DISTINCT consumer_function AS s, target AS t FROM usages),
     back AS (
         SELECT t, s FROM (
@@ -716,14 +763,22 @@ SCORED_SQL = f"""WITH seed AS (SELECT '{ITEM}' AS id),
     ), hop AS (SELECT s AS a, t AS b FROM e UNION SELECT t, s FROM back),
     d1 AS (SELECT DISTINCT b AS id FROM hop JOIN seed ON a = id WHERE b NOT IN (SELECT id FROM seed)),
     d2 AS (SELECT DISTINCT b AS id FROM hop JOIN d1 ON a = id WHERE b NOT IN (SELECT id FROM seed) AND b NOT IN (SELECT id FROM d1)),
-    f AS (SELECT id, 0 AS d FROM seed UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2),
-    scored AS (SELECT id, CAST(d AS BIGINT) AS distance, round(0.6 * text_score / (SELECT max(text_score) FROM tx) + 0.4 * (1.0 / (1 + d)), 6) AS score FROM f JOIN tx USING (id))"""
+    d3 AS (SELECT DISTINCT b AS id FROM hop JOIN d2 ON a = id WHERE b NOT IN (SELECT id FROM seed) AND b NOT IN (SELECT id FROM d1) AND b NOT IN (SELECT id FROM d2)),
+    f AS (SELECT id, 0 AS d FROM seed UNION ALL SELECT id, 1 FROM d1 UNION ALL SELECT id, 2 FROM d2 UNION ALL SELECT id, 3 FROM d3),
+    scored AS (SELECT id, CAST(d AS BIGINT) AS distance, round(0.6 * text_score / (SELECT max(text_score) FROM tx) + 0.4 * (1.0 / (1 + d)), 6) AS score FROM f JOIN tx USING (id)),
+    ranked AS (
+        SELECT id, qualified_name AS item, item_kind, distance, score, CAST(row_number() OVER (ORDER BY CASE WHEN distance = 0 THEN 0 ELSE 1 END, score DESC, qualified_name) AS BIGINT) AS rank
+        FROM scored JOIN nodes USING (id)
+    )"""
 
 
 def _codemap(g: Graph) -> DataFrame:
-    scores = g.nodes.where("kind = 'Item'").select("id", F.round(F.length("display_name") / 20, 6).alias("text_score"))
-    seeds = g.nodes.where(F.col("id") == ITEM).select("id")
-    return search.relevance(search.expand(g, seeds, scores, 2), scores)
+    items = g.nodes.where("kind = 'Item'")
+    chunks = items.select("id", F.concat("qualified_name", F.lit(" "), F.array_join("attributes", "\n")).alias("content"))
+    asked = items.sparkSession.createDataFrame([(0, PROMPT)], "query_id long, query string")
+    scores = materialize(text.bm25(chunks, asked, "id").select("id", F.col("score").alias("text_score")), "codemap-text")
+    seeds = items.where(F.col("id") == ITEM).select("id")
+    return search.relevance(search.expand(g, seeds, scores, 3), scores)
 
 
 @query(f"{SCORED_SQL} SELECT * FROM scored")
@@ -731,16 +786,19 @@ def codemap_score(g):
     return _codemap(g)
 
 
-@query(
-    f"""{SCORED_SQL}, r AS (
-        SELECT qualified_name AS item, distance, score, CAST(row_number() OVER (ORDER BY CASE WHEN distance = 0 THEN 0 ELSE 1 END, score DESC, qualified_name) AS BIGINT) AS rank
-        FROM scored JOIN nodes USING (id)
-    ) SELECT * FROM r WHERE rank <= 80"""
-)
+@query(f"{SCORED_SQL} SELECT item, distance, score, rank FROM ranked WHERE rank <= 80")
 def codemap_prune(g):
     return search.prune(_codemap(g), g).select("item", "distance", "score", "rank")
 
 
+@query(
+    f"""{SCORED_SQL} SELECT a.item AS caller, b.item AS callee, CASE WHEN b.item_kind IN ('Function', 'Method', 'AssocFunction') THEN 'Calls' ELSE 'Uses' END AS edge
+    FROM e JOIN ranked a ON a.id = e.s JOIN ranked b ON b.id = e.t WHERE a.rank <= 80 AND b.rank <= 80"""
+)
+def codemap_edges(g):
+    return search.retained_edges(g, materialize(search.prune(_codemap(g), g), "codemap-kept"))
+
+
 # State ---------------------------------------------------------------------
 
 STATES_SQL = """WITH v1 AS (SELECT doc_id AS path, sha256(text) AS h FROM documents),
@@ -750,12 +808,17 @@ STATES_SQL = """WITH v1 AS (SELECT doc_id AS path, sha256(text) AS h FROM docume
     )"""
 
 
-def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Documents as files, and a later state with files gone, altered and new."""
     d = read_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
     kept = d.where("path % 17 <> 0").withColumn("content", F.when(F.col("path") % 13 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
     fresh = d.where("path % 19 = 0").withColumn("path", F.col("path") + 1000000000)
-    return incremental.file_state(d), incremental.file_state(kept.unionByName(fresh))
+    return d, kept.unionByName(fresh)
+
+
+def _states(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    first, later = _files(spark, sf_dir)
+    return incremental.file_state(first), incremental.file_state(later)
 
 
 @query(
@@ -807,6 +870,103 @@ def error_rates(spark, sf_dir):
     return rows.select("user_id", incremental.ratio(F.col("e"), F.col("n")).alias("error_rate"), "n")
 
 
+@query("SELECT doc_id AS id, min(doc_id) OVER w AS first_id, count(*) OVER w AS size FROM documents WINDOW w AS (PARTITION BY sha256(text)) QUALIFY count(*) OVER w > 1", on_graph=False)
+def exact_groups(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return vector.exact_pairs(docs, "doc_id", "h")
+
+
+MESSAGES = "CASE event_type WHEN 'error' THEN 'Permission denied: ' || user_id WHEN 'view' THEN 'file NOT FOUND' WHEN 'click' THEN 'invalid utf-8 in ' || user_id ELSE 'timed out after ' || user_id END"
+
+
+@query(
+    f"""WITH m AS (SELECT lower({MESSAGES}) AS m FROM events)
+    SELECT CASE WHEN contains(m, 'permission denied') OR contains(m, 'not found') OR contains(m, 'invalid utf') OR contains(m, 'is a directory') THEN 'Permanent' ELSE 'Transient' END AS category, count(*) AS n FROM m GROUP BY 1""",
+    on_graph=False,
+)
+def errors_by_category(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "events").select(incremental.error_category(F.expr(MESSAGES)).alias("category"))
+    return rows.groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH s AS (SELECT n_regionkey, CASE n_nationkey % 5 WHEN 0 THEN 'bm25' WHEN 1 THEN 'vector' ELSE 'merkle' END AS component, CASE WHEN n_nationkey % 3 = 0 OR n_regionkey = 2 THEN 'unhealthy' WHEN n_regionkey = 4 THEN 'degraded' ELSE 'healthy' END AS status FROM nation),
+    c AS (SELECT count(*) FILTER (WHERE component IN ('bm25', 'vector') AND status = 'unhealthy') AS bad, count(*) FILTER (WHERE status <> 'healthy') AS odd FROM s)
+    SELECT CASE WHEN bad = 2 THEN 'unhealthy' WHEN odd > 0 THEN 'degraded' ELSE 'healthy' END AS status FROM c""",
+    on_graph=False,
+)
+def health_rollup(spark, sf_dir):
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    component = F.when(n % 5 == 0, F.lit("bm25")).when(n % 5 == 1, F.lit("vector")).otherwise(F.lit("merkle"))
+    status = F.when((n % 3 == 0) | (r == 2), F.lit("unhealthy")).when(r == 4, F.lit("degraded")).otherwise(F.lit("healthy"))
+    return incremental.health(read_table(spark, sf_dir, "nation").select(component.alias("component"), status.alias("status")))
+
+
+@query(
+    """WITH t AS (SELECT doc_id % 64 AS batch, CAST(greatest(1, ceil(octet_length(encode(text)) / 4.0)) AS BIGINT) AS n FROM documents),
+    b AS (SELECT batch, sum(n) AS r, sum(least(n, 512)) AS c, min(least(n, 512)) AS lo, max(least(n, 512)) AS hi, max(least(n, 512)) * count(*) AS p FROM t GROUP BY 1)
+    SELECT CAST(sum(r) AS BIGINT) AS raw_tokens, CAST(sum(c) AS BIGINT) AS capped_tokens, min(lo) AS shortest, max(hi) AS longest, CAST(sum(p) AS BIGINT) AS padded_tokens FROM b""",
+    on_graph=False,
+)
+def token_batch_summary(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "documents").select((F.col("doc_id") % 64).alias("batch"), chunking.estimated_tokens(F.col("text")).alias("n"))
+    return incremental.token_batches(rows)
+
+
+@query("SELECT * FROM (" + _sql["crate_dependency_metric"] + ") ORDER BY efferent DESC, crate_name LIMIT 10", on_graph=False)
+def metric_ranking(spark, sf_dir):
+    return relations.rank_metric(relations.dependency_metric(graph(spark, sf_dir)), "efferent", 10)
+
+
+@query(f"SELECT qualified_name AS item, display_name = (SELECT display_name FROM nodes WHERE id = '{ITEM}') AS is_exact, file, span_start AS start FROM nodes WHERE kind = 'Item' AND contains(lower(display_name), lower((SELECT display_name FROM nodes WHERE id = '{ITEM}')))")
+def find_definition(g):
+    return navigate.find_definition(g, g.nodes.where(F.col("id") == ITEM).select("display_name").first()[0])
+
+
+@query(
+    f"""WITH i AS (SELECT id, qualified_name AS item, file, span_start FROM nodes WHERE kind = 'Item' AND display_name = (SELECT display_name FROM nodes WHERE id = '{ITEM}') ORDER BY id LIMIT 50),
+    r AS (SELECT item, file, span_start AS start, 'declaration' AS what FROM i UNION ALL SELECT item, u.file, start, 'usage' FROM usages u JOIN i ON i.id = target)
+    SELECT item, file, start, min(what) AS what FROM r GROUP BY 1, 2, 3"""
+)
+def find_references(g):
+    return navigate.references(g, g.nodes.where(F.col("id") == ITEM).select("display_name").first()[0])
+
+
+PATHS = "CASE p_size % 8 WHEN 0 THEN 'src/.env.local' WHEN 1 THEN 'a/secrets/k.txt' WHEN 2 THEN 'deploy/id.pem' WHEN 3 THEN 'src/lib.rs' WHEN 4 THEN '.env' WHEN 5 THEN 'x/my_password_list' WHEN 6 THEN 'target/debug/a.rs' ELSE 'src/' || p_name || '.rs' END"
+
+
+@query(f"""SELECT p_partkey, {PATHS} AS path, regexp_matches({PATHS}, '{"|".join(f"(?:{filters.glob_regex(x)})" for x in filters.SENSITIVE)}') AS sensitive FROM part""", on_graph=False)
+def sensitive_paths(spark, sf_dir):
+    rows = read_table(spark, sf_dir, "part").select("p_partkey", F.expr(PATHS).alias("path"))
+    return rows.withColumn("sensitive", filters.is_sensitive(F.col("path")))
+
+
+# Incremental index ---------------------------------------------------------
+
+CHANGED_SQL = f"""{STATES_SQL}, k AS (SELECT coalesce(v1.path, v2.path) AS path, CASE WHEN v1.h IS NULL THEN 'added' WHEN v2.h IS NULL THEN 'deleted' WHEN v1.h <> v2.h THEN 'modified' ELSE 'same' END AS change FROM v1 FULL JOIN v2 ON v1.path = v2.path)"""
+
+
+@query(f"{CHANGED_SQL} SELECT 2 AS run, change, count(*) AS files FROM k WHERE change <> 'same' GROUP BY 2 UNION ALL SELECT 1, 'added', count(*) FROM v1", on_graph=False)
+def index_runs(spark, sf_dir):
+    """Changes that three runs of the incremental index find: all files, a later state, nothing."""
+    index = _index(spark, sf_dir)
+    return index.log().groupBy("run", "change").agg(F.count("*").alias("files"))
+
+
+@query(f"{CHANGED_SQL} SELECT path, h AS content_hash, CASE WHEN change = 'same' THEN 1 ELSE 2 END AS run FROM k JOIN v2 USING (path)", on_graph=False)
+def index_state(spark, sf_dir):
+    """The index after these runs: which run indexed each file last."""
+    return _index(spark, sf_dir).open().select("path", "content_hash", "run")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> incremental.IncrementalIndex:
+    first, later = _files(spark, sf_dir)
+    index = incremental.IncrementalIndex(spark, new_path(spark, "index"), lambda files: files.select("path", F.octet_length("content").alias("bytes")))
+    for files in (first, later, later):
+        index.update(files)
+    return index
+
+
 # Streams -------------------------------------------------------------------
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import Graph
-from graphloom.session import read_table
+from graphloom.session import materialize, path_exists, read_table
 
 ITEMS = """
     SELECT p.p_partkey AS k, p.p_name, p.p_size, p.p_brand,
@@ -40,7 +40,7 @@ NODES = """
     SELECT 'R' || CAST(n_nationkey AS STRING), 'Module', n_name, n_name, 'C' || CAST(n_nationkey AS STRING), 'C' || CAST(n_nationkey AS STRING), NULL, NULL, NULL, NULL, 'pub', NULL, NULL
     FROM {nation}
     UNION ALL
-    SELECT 'M' || CAST(s_suppkey AS STRING), 'Module', s_name, n_name || '::' || s_name, 'C' || CAST(n_nationkey AS STRING), 'R' || CAST(n_nationkey AS STRING), NULL, NULL, NULL, NULL,
+    SELECT 'M' || CAST(s_suppkey AS STRING), 'Module', CASE WHEN s_suppkey % 20 = 7 THEN 'NATION_' || CAST(s_suppkey % 23 AS STRING) ELSE s_name END, n_name || '::' || s_name, 'C' || CAST(n_nationkey AS STRING), 'R' || CAST(n_nationkey AS STRING), NULL, NULL, NULL, NULL,
            CASE s_suppkey % 3 WHEN 0 THEN 'pub' WHEN 1 THEN 'pub(crate)' ELSE 'private' END, NULL, NULL
     FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey
     UNION ALL
@@ -63,7 +63,7 @@ NODES = """
 
 USAGES = """
     SELECT 'U' || CAST(l_orderkey AS STRING) || '-' || CAST(rn AS STRING) AS usage_id,
-           'I' || CAST(nxt AS STRING) AS target, 'M' || CAST(l_suppkey AS STRING) AS consumer_module,
+           'I' || CAST(nxt - nxt % 4 AS STRING) AS target, 'M' || CAST(l_suppkey AS STRING) AS consumer_module,
            'o' || CAST(l_orderkey AS STRING) AS file, l_orderkey AS start, rn AS stop,
            CASE l_returnflag WHEN 'A' THEN 'Read' WHEN 'N' THEN 'Write' WHEN 'R' THEN 'Test' ELSE 'Other' END AS category,
            'I' || CAST(l_partkey AS STRING) AS consumer_function, l_quantity AS weight
@@ -111,18 +111,58 @@ STATICS = """
     FROM items WHERE item_kind = 'Static'
 """
 
-PARTS = {"nodes": NODES, "usages": USAGES, "bindings": BINDINGS, "signatures": SIGNATURES, "statics": STATICS}
+# Functions as source text, in which the patterns of the audits occur; brackets stand for braces.
+SOURCES = """
+    SELECT 'I' || CAST(k AS STRING) AS id, translate(concat_ws(chr(10),
+               CASE WHEN k % 5 = 0 THEN 'async fn f' ELSE 'fn f' END || CAST(k AS STRING) || '(x: u32) [',
+               CASE WHEN k % 3 = 0 THEN '    let a = x.get().unwrap();' END,
+               CASE WHEN k % 7 = 0 THEN '    let b = x.get().expect("b").unwrap();' END,
+               CASE k % 11 WHEN 0 THEN '    panic!("no");' WHEN 1 THEN '    std::todo!();' WHEN 2 THEN '    unreachable!();' END,
+               CASE WHEN k % 10 = 0 THEN '    let g = m.lock().unwrap();' WHEN k % 10 = 5 THEN '    let g = m.clone();' END,
+               CASE WHEN k % 5 = 0 THEN '    call(x).await;' END,
+               CASE WHEN k % 13 = 0 THEN '    // SAFETY: x is set' END,
+               CASE WHEN k % 13 IN (0, 1) THEN '    unsafe [' || chr(10) || '        y.unwrap_unchecked(); std::mem::transmute::<u32, i32>(x);' || chr(10) || '    ]' END,
+               CASE k % 6 WHEN 0 THEN '    loop [ step(); ]' WHEN 1 THEN '    loop [ if x > 1 [ break; ] ]' WHEN 2 THEN '    loop [' || chr(10) || '        go(x)?;' || chr(10) || '    ]' END,
+               CASE WHEN k % 9 = 0 THEN '    f' || CAST(k AS STRING) || '(x - 1);' END,
+               ']'), '[]', chr(123) || chr(125)) AS body
+    FROM items WHERE item_kind IN ('Function', 'Method')
+"""
+
+PARTS = {"nodes": NODES, "usages": USAGES, "bindings": BINDINGS, "signatures": SIGNATURES, "statics": STATICS, "sources": SOURCES}
 TABLES = ("part", "supplier", "nation", "customer", "lineitem")
 
 
+_built: dict[tuple, dict[str, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Application, folder, and when its tables were last written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in TABLES]
+    return spark.sparkContext.applicationId, sf_dir, *(p.getFileSystem(conf).getFileStatus(p).getModificationTime() for p in paths)
+
+
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The projected tables, written once for a state of the folder."""
+    key = _state(spark, sf_dir)
+    if key not in _built or not path_exists(spark, _built[key]["nodes"]._graphloom_path):
+        tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
+        out = {"items": materialize(spark.sql(ITEMS, **{t: df for t, df in tables.items() if f"{{{t}}}" in ITEMS}), "graph-items")}
+        for name, text in PARTS.items():
+            sql = text.replace("FROM items", "FROM {items}").replace("JOIN items", "JOIN {items}")
+            out[name] = materialize(spark.sql(sql, **{t: df for t, df in (tables | out).items() if f"{{{t}}}" in sql}), f"graph-{name}")
+        _built[key] = out
+    return _built[key]
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): functions as source text."""
+    return _tables(spark, sf_dir)["sources"].select(F.col("id").alias("doc_id"), F.col("body").alias("text"))
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph tables as plans; nothing is computed yet."""
-    tables = {t: read_table(spark, sf_dir, t) for t in TABLES}
-    out = {}
-    for name, text in PARTS.items():
-        sql = f"WITH items AS ({ITEMS}) {text}" if "items" in text else text
-        used = {t: df for t, df in tables.items() if f"{{{t}}}" in sql}
-        out[name] = spark.sql(sql, **used)
+    """The graph tables."""
+    out = _tables(spark, sf_dir)
     nodes = out["nodes"].withColumn("attributes", F.filter(F.split(F.coalesce("attr_text", F.lit("")), "\n"), lambda a: a != ""))
     sigs = out["signatures"]
     params = F.transform(F.filter(F.split("param_types", ","), lambda t: t != ""), lambda t, i: F.struct(F.concat(F.lit("a"), i.cast("string")).alias("name"), t.alias("ty")))

@@ -37,9 +37,12 @@ class SnapshotStore:
         out = fs.create(tmp, True)
         out.write(text.encode())
         out.close()
-        if fs.exists(to):
-            fs.delete(to, False)
-        fs.rename(tmp, to)
+        # renames over the old file in one step where the store can do so
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri() if to.toUri().getScheme() else fs.getUri(), self._conf)
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(rename, 1)
+        options[0] = rename.OVERWRITE
+        context.rename(context.makeQualified(tmp), context.makeQualified(to), options)
 
     def _get(self, name: str) -> str | None:
         if not self._exists(name):

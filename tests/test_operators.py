@@ -124,8 +124,9 @@ def test_bm25(spark):
 def test_text(spark):
     d = spark.createDataFrame([(1, "a\nbé\n\nfn x() { unsafe {\n} // SAFETY\n unsafe { y.unwrap() }"), (2, "")], "doc_id long, text string")
     assert rows(text.line_offsets(d))[:4] == [(1, 1, 0, 1), (1, 2, 2, 3), (1, 3, 6, 0), (1, 4, 7, 17)]
-    assert rows(text.unsafe_blocks(d)) == [(1, 4, False), (1, 6, True)]
+    assert rows(text.unsafe_blocks(d)) == [(1, 4, 2, False), (1, 6, 1, True)]
     assert rows(text.body_audit(d)) == [(1, "unwrap", 1)]
+    assert rows(text.body_context(d)) == [(1, 6, "unwrap", "} // SAFETY\n unsafe { y.unwrap() }")]
     with pytest.raises(ValueError):
         text.body_audit(d, ["nope"])
     c = text.complexity(d).where("doc_id = 1").first()
@@ -134,6 +135,54 @@ def test_text(spark):
     assert tuple(line) == (4, "bé\n")
 
 
+@pytest.mark.parametrize(
+    ("body", "want"),
+    [
+        ("fn f() { x.unwrap(); y . unwrap (); }", {"unwrap": 2}), ("fn f() { x.unwrap_or(1); }", {}), ('fn f() { x.expect("a"); expect(1); }', {"expect": 1}),
+        ('fn f() { panic!("x"); std::todo!(); unimplemented!(); unreachable!(); assert!(a); }', {"panic_macros": 4}), ("fn f() { a.unwrap_unchecked(); a.unwrap_err_unchecked(); }", {"unwrap_unchecked": 2}),
+        ("fn f() { std::mem::transmute::<u32, Vec<u8>>(x); transmute(y); my_transmute(z); }", {"transmute": 2}),
+        ("fn f() { loop { step(); } }", {"unbounded_loop": 1}), ("fn f() { loop { if x { break; } } }", {}), ("fn f() { loop { g()?; } }", {}), ("fn f() { loop { if a { if b { return; } } } }", {}),
+        ("async fn f() { let g = m.lock(); h().await; }", {"await_in_guard_scope": 1}), ("async fn f() { h().await; let g = m.lock(); }", {}), ("async fn f() { let g: MutexGuard<u8> = x; a().await; b().await; }", {"await_in_guard_scope": 2}),
+        ("fn fact(n: u32) -> u32 { n * fact(n - 1) }", {"self_recursion": 1}), ("fn f(n: u32) { ff(n); g.f2(1) }", {}), ("", {}),
+    ],
+)
+def test_body_audit(spark, body, want):
+    got = {p: n for _, p, n in rows(text.body_audit(spark.createDataFrame([(1, body)], "doc_id long, text string")))}
+    assert got == want
+
+
+def test_incremental_index(spark, tmp_path):
+    files = lambda **kw: spark.createDataFrame(list(kw.items()), "path string, content string")
+    prepare = lambda df: df.select("path", F.length("content").alias("n"))
+    index = incremental.IncrementalIndex(spark, f"file://{tmp_path}/index", prepare)
+    assert index.open() is None and index.runs() == 0
+    state = lambda: [(p, n, r) for p, n, r in rows(index.open(), "path", "n", "run")]
+    assert index.update(files(a="1", b="22", c="333")) == 3 and state() == [("a", 1, 1), ("b", 2, 1), ("c", 3, 1)]
+    assert index.update(files(a="1", b="22", c="333")) == 0 and index.runs() == 1
+    assert index.update(files(a="1", b="4444", d="55555")) == 3
+    assert state() == [("a", 1, 1), ("b", 4, 2), ("d", 5, 2)]
+    assert rows(index.log(), "run", "path", "change")[3:] == [(2, "b", "modified"), (2, "c", "deleted"), (2, "d", "added")]
+    again = incremental.IncrementalIndex(spark, f"file://{tmp_path}/index", prepare)
+    assert again.update(files(a="1", b="4444", d="55555")) == 0 and again.repair(files(a="1", b="4444", d="55555")) == 0
+    # rows that got lost are prepared anew
+    tables = again.store.open()
+    again.store.build("index", "broken", {"state": tables["state"], "rows": tables["rows"].where("path <> 'b'"), "log": tables["log"]})
+    assert again.repair(files(a="1", b="4444", d="55555")) == 1 and state() == [("a", 1, 1), ("b", 4, 3), ("d", 5, 2)]
+
+
+def test_tokens_of_other_scripts(spark):
+    got = spark.createDataFrame([("Él niño; naïve_über straße42 " + "x" * 41 + " ü" + "é" * 20 + " 梦境",)], "t string").select(text.tokens(F.col("t"))).first()[0]
+    assert got == ["él", "niño", "naïve", "über", "straße42", "梦境"]
+
+
+def test_resilient_search(spark):
+    hit = lambda: spark.createDataFrame([(1, 7, 0.5, 1)], "query_id long, id long, score double, rank long")
+    late = lambda: hit().withColumn("score", F.raise_error(F.lit("down")).cast("double"))
+    assert rows(search.resilient(hit, late), "id") == [(7,)]
+    with pytest.raises(RuntimeError):
+        search.resilient(late, late)
+
+
 def test_state(spark):
     old = spark.createDataFrame([("a", "1", 1, 5), ("b", "2", 1, 5), ("c", "3", 1, 5)], "path string, content_hash string, size long, last_modified long")
     new = spark.createDataFrame([("a", "1", 1, 5), ("b", "9", 2, 5), ("d", "4", 1, 6)], old.schema)
