@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.files import mapped, write_file
 from graphloom.llm.hashing import WordHashes
+from graphloom.llm.held import held
 from graphloom.session import materialize, new_path
 
 # By length of the stretch and mismatches in it: masks of which one is free of
@@ -52,12 +53,11 @@ MASKS = {
 }
 WORD = re.compile(r"\w+")
 NONE = np.uint64(0)  # no token's hash
-_words = WordHashes(400_000, least=1)
 
 
 def tokens(text: str | None) -> np.ndarray:
     """Hashes of the text's tokens."""
-    return _words.of(WORD.findall((text or "").lower()))
+    return held("words", lambda: WordHashes(250_000, least=1)).of(WORD.findall((text or "").lower()))
 
 
 def needed(stretch: int, similarity: float) -> int:

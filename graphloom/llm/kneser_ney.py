@@ -60,6 +60,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import open_file, write_file
+from graphloom.llm.held import held
 from graphloom.llm.language_id import remainder
 from graphloom.session import materialize, new_path, release, remove_path
 
@@ -713,18 +714,12 @@ class Scorer:
         return [g.sizes, *(np.bincount(owner, x, len(g.sizes)) for x in (raw[g.which] > 0, base[g.which], p))]
 
 
-_scorers: dict[int, Scorer] = {}
-
-
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(sent.value) not in _scorers:
-            _scorers.clear()
-            _scorers[id(sent.value)] = Scorer(sent.value)
-        scorer = _scorers[id(sent.value)]
+        scorer = held(("model", sorted(sent.value.files.items())[0]), lambda: Scorer(sent.value))
         for b in batches:
             at = 0
             for n, group in groups_of(b.column(2)):

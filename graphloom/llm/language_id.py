@@ -36,6 +36,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.held import held
+
 BLOCK = 256
 DENSE = 1 << 25  # cells of the tables of all languages; automata beyond are kept as edges
 GAP, OTHER, FIRST = 0, 1, 2
@@ -229,15 +231,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
     return {l: " ".join(t for _, t in sorted(v)[:docs_per_language]) for l, v in chosen.items()}
 
 
-_parsers: dict[int, CrossParser] = {}
-
-
 def _parser(samples: dict[str, str]) -> CrossParser:
-    key = hash(tuple(sorted(samples.items())))
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = CrossParser(samples)
-    return _parsers[key]
+    return held(("language", hash(tuple(sorted(samples.items())))), lambda: CrossParser(samples))
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_language: int = 64, chars_per_doc: int = 600) -> DataFrame:

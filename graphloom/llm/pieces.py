@@ -42,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.llm.held import held
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, BYTE = 1, 6  # kinds of pieces in a model file
@@ -78,7 +80,7 @@ def _fields(buf: bytes) -> Iterator[tuple[int, object]]:
 class PieceModel:
     """Pieces of a model file, and encoding and decoding with them."""
 
-    def __init__(self, path: str, max_segments: int = 160_000, max_segment: int = 48):
+    def __init__(self, path: str, max_segments: int = 120_000, max_segment: int = 48):
         self.pieces: list[tuple[str, float, int]] = []
         self.kind = UNIGRAM
         with open(path, "rb") as f:
@@ -314,13 +316,8 @@ class PieceModel:
         return b"".join(map(self.spelled.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
 
 
-_models: dict[str, PieceModel] = {}
-
-
 def _model(path: str) -> PieceModel:
-    if path not in _models:
-        _models[path] = PieceModel(path)
-    return _models[path]
+    return held(("pieces", path), lambda: PieceModel(path))
 
 
 def _each(path: str, what: str, kind: pa.DataType, name: str):

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import open_file, write_file
+from graphloom.llm.held import held
 from graphloom.session import materialize, new_path
 
 MAGIC = b"GLTI"
@@ -209,13 +210,8 @@ class PieceEncoder:
         return [h + b"".join(map(look, r)) for h, r in zip(heads, rests)]
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
 def _encoder(path: str) -> PieceEncoder:
-    if path not in _encoders:
-        _encoders[path] = PieceEncoder(path)
-    return _encoders[path]
+    return held(("tokens", path), lambda: PieceEncoder(path))
 
 
 def _write(folder: str, tokenizer: str, end_id: int, width: int, file_ids: int):
