@@ -719,7 +719,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = held(("model", sorted(sent.value.files.items())[0]), lambda: Scorer(sent.value))
+        scorer = held(("model", min(sent.value.files.values(), default=None)), lambda: Scorer(sent.value))
         for b in batches:
             at = 0
             for n, group in groups_of(b.column(2)):

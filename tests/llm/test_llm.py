@@ -669,3 +669,12 @@ def test_stages_keep_columns(spark, edge, k):
     out = corpus_pipeline.STAGES[k][1](spark, docs, SF)
     assert out.columns == corpus_pipeline.COLUMNS
     assert corpus_pipeline.STAGES[k][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_encode_stage(spark, edge):
+    docs = edge.select("doc_id", "text", "lang").withColumns({"source": F.lit("s"), "n_chars": F.length("text").cast("long")})
+    out = corpus_pipeline.STAGES[4][1](spark, docs, SF)
+    assert out.columns == ["doc_id", "ids", "n_tokens", "ids_crc32"]
+    m = pieces.PieceModel(SP)
+    got = [(r["doc_id"], None if r["ids"] is None else m.decode(bytes(r["ids"]))) for r in out.collect()]
+    assert key(got) == key(EDGE) and corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
