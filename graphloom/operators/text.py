@@ -150,6 +150,15 @@ def bm25(chunks: DataFrame, queries: DataFrame, id_col: str = "chunk_id", text_c
     return rows.join(asked, "token").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
 
 
+def bm25_fields(chunks: DataFrame, queries: DataFrame, fields: list[str], id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score): BM25 of each field by itself, added up."""
+    scores = [bm25(chunks.select(F.col(id_col).alias("id"), F.coalesce(f, F.lit("")).alias("text")), queries, "id", "text") for f in fields]
+    rows = scores[0]
+    for s in scores[1:]:
+        rows = rows.unionByName(s)
+    return rows.groupBy("query_id", "id").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
 def top_k(scores: DataFrame, k: int, group: str = "query_id", key: str = "id") -> DataFrame:
     """The k best rows of each query, with rank, ties by id."""
     rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("score"), key))

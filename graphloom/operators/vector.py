@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
@@ -88,6 +88,18 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return sizes.join(scores, "component").withColumnRenamed("component", "cluster")
 
 
+def cluster_page(found: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """Clusters, the best first, until ``limit`` members are out; the last is cut.
+
+    Adds rank and shown, the members of the cluster that are within the limit. The
+    offset skips whole clusters.
+    """
+    order = Window.orderBy(F.desc("avg_score"), F.desc("size"), "cluster")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") > offset)
+    before = F.coalesce(F.sum("size").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranked.withColumn("before", before).where(F.col("before") < limit).withColumn("shown", F.least("size", F.lit(limit) - F.col("before")).cast("long")).drop("before")
+
+
 def exact_pairs(rows: DataFrame, id_col: str, hash_col: str) -> DataFrame:
     """Membership of groups with equal content: (id, first_id, size)."""
     groups = rows.groupBy(hash_col).agg(F.min(id_col).alias("first_id"), F.count("*").alias("size")).where("size > 1")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import chunking
 from graphloom.functions.identity import node_id
-from graphloom.operators import incremental, navigate, relations, search, spans, surface, text, traverse, vector
+from graphloom.operators import incremental, navigate, recipes, relations, search, spans, surface, text, traverse, vector
 from graphloom.operators.graph import Graph, page
 from graphloom.plans.projection import documents_chunks, graph, oracle, sources
 from graphloom.session import materialize, new_path, read_table
@@ -941,6 +941,103 @@ def sensitive_paths(spark, sf_dir):
     return rows.withColumn("sensitive", filters.is_sensitive(F.col("path")))
 
 
+# Recipes -------------------------------------------------------------------
+
+
+@query(
+    """WITH o AS (SELECT consumer_function AS id, count(DISTINCT target) AS n FROM usages GROUP BY 1), u AS (SELECT target AS id, count(*) AS n FROM usages GROUP BY 1)
+    SELECT qualified_name AS item, coalesce(o.n, 0) AS out_degree, coalesce(u.n, 0) AS usages, coalesce(o.n, 0) * coalesce(u.n, 0) AS priority
+    FROM nodes LEFT JOIN o ON o.id = nodes.id LEFT JOIN u ON u.id = nodes.id WHERE item_kind IN ('Function', 'Method')"""
+)
+def blast_radius(g):
+    return recipes.blast_radius(g)
+
+
+def _density_sql(home: str) -> str:
+    return f"""WITH h AS ({home}), x AS (SELECT a.c AS src, b.c AS dst FROM usages JOIN h a ON a.id = consumer_module JOIN h b ON b.id = target),
+    d AS (SELECT src, count(*) FILTER (WHERE src = dst) AS internal, count(*) FILTER (WHERE src <> dst) AS external FROM x GROUP BY 1)
+    SELECT qualified_name AS container, internal, external, round(CAST(internal AS DOUBLE) / (internal + external), 6) AS share, internal > external AS is_boundary FROM d JOIN nodes ON id = src"""
+
+
+@query(
+    _density_sql(
+        """SELECT n.id, CASE WHEN n.kind IN ('Module', 'Crate', 'ExternalSymbol') THEN n.id WHEN p.kind IN ('Module', 'Crate', 'ExternalSymbol') THEN p.id ELSE p.parent_id END AS c
+        FROM nodes n LEFT JOIN nodes p ON p.id = n.parent_id"""
+    )
+)
+def boundary_density(g):
+    return recipes.boundary_density(g)
+
+
+@query(_density_sql("SELECT id, crate_id AS c FROM nodes WHERE crate_id IS NOT NULL"))
+def crate_boundary_density(g):
+    return recipes.boundary_density(g, "crate")
+
+
+@query(
+    """WITH x AS (SELECT consumer_function AS id, t.crate_id AS dst, count(*) AS n FROM usages JOIN nodes t ON t.id = target WHERE t.crate_id IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT i.qualified_name AS item, i.crate_id AS home, dst, n, row_number() OVER (PARTITION BY i.id ORDER BY n DESC, dst <> i.crate_id, dst) AS r FROM x JOIN nodes i ON i.id = x.id)
+    SELECT item, a.qualified_name AS home, b.qualified_name AS best, n FROM r JOIN nodes a ON a.id = home JOIN nodes b ON b.id = dst WHERE r = 1 AND home <> dst"""
+)
+def misplaced_functions(g):
+    return recipes.alignment(g)
+
+
+@query(
+    """WITH s AS (SELECT target, from_module AS m, 1 AS i FROM bindings WHERE kind <> 'Declared' UNION ALL SELECT target, consumer_module, 0 FROM usages),
+    r AS (
+        SELECT t.qualified_name AS item, count(DISTINCT CASE WHEN i = 1 THEN m END) AS importers, count(DISTINCT CASE WHEN i = 0 THEN m END) AS users,
+               count(DISTINCT CASE WHEN c.crate_id <> t.crate_id THEN c.crate_id END) AS crates
+        FROM nodes t LEFT JOIN s ON target = t.id LEFT JOIN nodes c ON c.id = m WHERE t.item_kind = 'Trait' GROUP BY 1
+    ) SELECT *, CASE WHEN crates = 0 THEN 'seal' WHEN importers = 1 AND users <= 1 THEN 'inline' ELSE 'keep' END AS verdict FROM r"""
+)
+def trait_audit(g):
+    return recipes.trait_audit(g)
+
+
+@query(
+    """WITH u AS (SELECT target, count(*) AS n, count(*) FILTER (WHERE category = 'Test') AS tests FROM usages GROUP BY 1)
+    SELECT qualified_name AS item, coalesce(n, 0) AS n, CASE WHEN n IS NULL THEN 'dead' WHEN tests = n THEN 'test_only' WHEN tests = 0 THEN 'critical' ELSE 'mixed' END AS class
+    FROM nodes LEFT JOIN u ON target = id WHERE item_kind = 'Method'"""
+)
+def method_fate(g):
+    return recipes.method_fate(g)
+
+
+@query("SELECT c.qualified_name AS crate_name, m.id AS root_id FROM nodes c JOIN nodes m ON m.parent_id = c.id AND m.kind = 'Module' AND m.qualified_name = c.qualified_name WHERE c.kind = 'Crate'")
+def root_modules(g):
+    return recipes.root_modules(g)
+
+
+ASKED = "SELECT n_nationkey AS query_id, n_name || ' derive ' || chr(32) || CASE WHEN n_nationkey % 2 = 0 THEN 'Hash' ELSE 'must_use part_' || CAST(n_nationkey AS STRING) END AS query FROM {nation}"
+
+
+@query(
+    "WITH "
+    + ", ".join(_bm25_sql(f"SELECT id, coalesce({f}, '') AS content FROM nodes WHERE kind = 'Item'", ASKED.format(nation="nation"), n) for n, f in (("a", "qualified_name"), ("b", "display_name"), ("d", "attr_text")))
+    + """, s AS (SELECT query_id, id, round(sum(score), 6) AS score FROM (SELECT query_id, id, score FROM a UNION ALL SELECT query_id, id, score FROM b UNION ALL SELECT query_id, id, score FROM d) GROUP BY 1, 2),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS BIGINT) AS rank FROM s) SELECT * FROM r WHERE rank <= 10"""
+)
+def symbol_search(g):
+    """BM25 over content, symbol name and documentation of all items."""
+    items = g.nodes.where("kind = 'Item'").select("id", "qualified_name", "display_name", F.array_join("attributes", "\n").alias("docs"))
+    crates = g.nodes.where("kind = 'Crate'").select(F.substring("id", 2, 9).cast("long").alias("n_nationkey"), F.col("display_name").alias("n_name"))
+    asked = g.nodes.sparkSession.sql(ASKED, nation=crates)
+    return text.top_k(text.bm25_fields(items, asked, ["qualified_name", "display_name", "docs"], "id"), 10)
+
+
+@query(
+    f"""WITH c AS ({_sql["semantic_overlap_clusters"].replace("WITH RECURSIVE ", "WITH RECURSIVE ", 1)}),
+    r AS (SELECT *, CAST(row_number() OVER (ORDER BY avg_score DESC, size DESC, cluster) AS BIGINT) AS rank FROM c),
+    p AS (SELECT *, coalesce(sum(size) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r WHERE rank > 2)
+    SELECT cluster, size, avg_score, min_score, rank, CAST(least(size, 40 - before) AS BIGINT) AS shown FROM p WHERE before < 40""",
+    on_graph=False,
+)
+def overlap_cluster_page(spark, sf_dir):
+    found = materialize(vector.clusters(vector.overlap_pairs(read_table(spark, sf_dir, "embeddings"), COSINE)), "clusters")
+    return vector.cluster_page(found, 40, 2)
+
+
 # Incremental index ---------------------------------------------------------
 
 CHANGED_SQL = f"""{STATES_SQL}, k AS (SELECT coalesce(v1.path, v2.path) AS path, CASE WHEN v1.h IS NULL THEN 'added' WHEN v2.h IS NULL THEN 'deleted' WHEN v1.h <> v2.h THEN 'modified' ELSE 'same' END AS change FROM v1 FULL JOIN v2 ON v1.path = v2.path)"""
