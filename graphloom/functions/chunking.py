@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.functions.identity import chunk_id, module_path
+
 CONTAINERS = ("impl", "module", "trait")
 SHOWN = 5  # imports and calls that a chunk's text lists
 
@@ -91,6 +93,15 @@ def split_lines(text: str, target_tokens: int) -> list[tuple[int, str]]:
     return [(i, "\n".join(p)) for i, p in parts] if len(parts) > 1 else [(0, text)]
 
 
+def chunk_files(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One chunk for each symbol (path, name, kind, line_start, line_end) of files
+    (path, content): its lines, its module, and an id that follows from its place."""
+    rows = symbols.join(files.select("path", "content"), "path")
+    lines = F.slice(F.split("content", "\n"), F.col("line_start").cast("int"), (F.col("line_end") - F.col("line_start") + 1).cast("int"))
+    place = chunk_id(F.col("path"), F.col("name"), F.col("line_start"), F.lit(1))
+    return rows.select(place.alias("chunk_id"), F.col("path").alias("file_path"), F.array_join(module_path(F.col("path")), "::").alias("module_path"), F.col("name").alias("symbol_name"), F.col("kind").alias("symbol_kind"), "line_start", "line_end", F.array_join(lines, "\n").alias("content"))
+
+
 def split_oversized(chunks: DataFrame, target_tokens: int) -> DataFrame:
     """(chunk_id, split_part, split_total, line_start, content) of all chunks; a
     narrow pass, since a part's end depends on the part before it."""

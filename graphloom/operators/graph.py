@@ -68,6 +68,11 @@ def visibility_label(tag: str = "vis_tag", node_name: str = "vis_name") -> Colum
     )
 
 
+def summary(rows: DataFrame) -> DataFrame:
+    """A listing without the columns that say where things are."""
+    return rows.drop("file", "span_start", "span_end", "start", "stop")
+
+
 def first_by(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key in a total order."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))

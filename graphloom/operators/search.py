@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.graph import CALLABLE, TYPES, Graph
+from graphloom.operators.spans import enclosing_ids
 from graphloom.session import materialize
 
 RRF_K, WEIGHTS = 60, (0.5, 0.5)
@@ -80,6 +81,42 @@ def tune_k(text: DataFrame, vector: DataFrame, relevant: DataFrame, ks: Sequence
     return rows.agg(F.max_by("k", F.struct("ndcg", -F.col("k"))).alias("k"), F.max("ndcg").alias("ndcg"))
 
 
+def seeds_by_name(g: Graph, names: Sequence[str]) -> DataFrame:
+    """(name, id, diagnostic): the node of each name, or why there is none."""
+    spark = g.nodes.sparkSession
+    asked = spark.createDataFrame([(n, n.rpartition("::")[0]) for n in dict.fromkeys(names)], "name string, parent string")
+    nodes = g.nodes.groupBy("qualified_name").agg(F.min("id").alias("id"), F.max((F.col("kind") == "Module").cast("int")).alias("is_module"))
+    rows = asked.join(nodes.select(F.col("qualified_name").alias("name"), "id"), "name", "left")
+    rows = rows.join(nodes.select(F.col("qualified_name").alias("parent"), "is_module"), "parent", "left")
+    hint = F.when(F.col("is_module") == 1, F.lit(" (its module is there; it may be private or not indexed)")).otherwise(F.lit(""))
+    return rows.select("name", "id", F.when(F.col("id").isNull(), F.concat(F.lit("unresolved seed: "), "name", hint)).alias("diagnostic"))
+
+
+def _resolved(g: Graph, hits: DataFrame) -> DataFrame:
+    """Search hits (hit_id, file, lo, hi, ...) with the id of the item around them, or null."""
+    found = enclosing_ids(g, hits.select("hit_id", "file", "lo", "hi"))
+    return hits.join(found, "hit_id", "left")
+
+
+def seeds_by_hits(g: Graph, hits: DataFrame, top: int = 20) -> DataFrame:
+    """(id, rank): the first ``top`` callables and types around search hits (hit_id,
+    file, lo, hi, rank), in the order of their first hit."""
+    kinds = g.nodes.where(F.col("item_kind").isin(*CALLABLE, *TYPES)).select("id")
+    first = _resolved(g, hits).join(kinds, "id", "left_semi").groupBy("id").agg(F.min("rank").alias("rank"))
+    return first.orderBy("rank", "id").limit(top)
+
+
+def dropped_hits(g: Graph, hits: DataFrame) -> DataFrame:
+    """One row: hits without an item around them, and those whose item is neither callable nor type."""
+    rows = _resolved(g, hits).join(g.nodes.select("id", "item_kind"), "id", "left")
+    return rows.agg(F.count_if(F.col("id").isNull()).alias("unresolved"), F.count_if(F.col("id").isNotNull() & ~F.coalesce(F.col("item_kind").isin(*CALLABLE, *TYPES), F.lit(False))).alias("other_kind"))
+
+
+def scores_by_node(g: Graph, hits: DataFrame) -> DataFrame:
+    """(id, score): the scores of all hits within an item, added up."""
+    return _resolved(g, hits).where("id IS NOT NULL").groupBy("id").agg(F.round(F.sum("score"), 6).alias("score"))
+
+
 def expand(g: Graph, seeds: DataFrame, text_scores: DataFrame, depth: int = 3, incoming: int = 8) -> DataFrame:
     """(id, distance): the neighbourhood of seed items for a codemap.
 

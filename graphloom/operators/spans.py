@@ -23,7 +23,12 @@ def enclosing(spans: DataFrame, hits: DataFrame, bucket: int = 4096) -> DataFram
     return rows.groupBy("hit_id").agg(best.alias("id"))
 
 
+def enclosing_ids(g: Graph, hits: DataFrame) -> DataFrame:
+    """(hit_id, id) for hits in source files."""
+    spans = g.nodes.where("span_start IS NOT NULL").select("file", F.col("span_start").alias("start"), F.col("span_end").alias("stop"), "id")
+    return enclosing(spans, hits)
+
+
 def enclosing_items(g: Graph, hits: DataFrame) -> DataFrame:
     """(hit_id, item) for hits in source files."""
-    spans = g.nodes.where("span_start IS NOT NULL").select("file", F.col("span_start").alias("start"), F.col("span_end").alias("stop"), "id")
-    return enclosing(spans, hits).join(g.names("id", "item"), "id").select("hit_id", "item")
+    return enclosing_ids(g, hits).join(g.names("id", "item"), "id").select("hit_id", "item")

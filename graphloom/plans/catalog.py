@@ -1009,6 +1009,61 @@ def root_modules(g):
     return recipes.root_modules(g)
 
 
+NAMES = ("NATION_3", "NATION_3::nowhere", "nowhere")
+
+
+@query(
+    """WITH a(name, parent) AS (VALUES ('NATION_3', ''), ('NATION_3::nowhere', 'NATION_3'), ('nowhere', '')),
+    n AS (SELECT qualified_name, min(id) AS id, max(CASE WHEN kind = 'Module' THEN 1 ELSE 0 END) AS m FROM nodes GROUP BY 1)
+    SELECT name, n.id, CASE WHEN n.id IS NULL THEN 'unresolved seed: ' || name || CASE WHEN p.m = 1 THEN ' (its module is there; it may be private or not indexed)' ELSE '' END END AS diagnostic
+    FROM a LEFT JOIN n ON n.qualified_name = name LEFT JOIN n p ON p.qualified_name = parent"""
+)
+def codemap_seeds_by_name(g):
+    return search.seeds_by_name(g, NAMES)
+
+
+HITS_SQL = """WITH h AS (
+        SELECT usage_id AS hit_id, coalesce(n.file, 'none') AS file, coalesce(n.span_start, 0) + 3 AS lo, coalesce(n.span_start, 0) + 5 AS hi, start AS rank, weight AS score FROM usages JOIN nodes n ON n.id = target WHERE category = 'Test'
+    ), m AS (
+        SELECT hit_id, n.id, n.item_kind, row_number() OVER (PARTITION BY hit_id ORDER BY span_end - span_start, span_start, n.id) AS r
+        FROM h JOIN nodes n ON n.file = h.file AND span_start <= lo AND hi <= span_end
+    ), x AS (SELECT h.*, id, item_kind FROM h LEFT JOIN m ON m.hit_id = h.hit_id AND r = 1),
+    ok AS (SELECT * FROM x WHERE item_kind IN ('Function', 'Method', 'AssocFunction', 'Struct', 'Enum', 'Union', 'Trait', 'TypeAlias'))"""
+
+
+def _search_hits(g: Graph) -> DataFrame:
+    at = g.nodes.select(F.col("id").alias("target"), F.col("file").alias("f"), "span_start")
+    rows = g.usages.where("category = 'Test'").join(at, "target")
+    return rows.select(F.col("usage_id").alias("hit_id"), F.coalesce("f", F.lit("none")).alias("file"), (F.coalesce("span_start", F.lit(0)) + 3).alias("lo"), (F.coalesce("span_start", F.lit(0)) + 5).alias("hi"), F.col("start").alias("rank"), F.col("weight").alias("score"))
+
+
+@query(f"{HITS_SQL} SELECT id, min(rank) AS rank FROM ok GROUP BY 1 ORDER BY 2, 1 LIMIT 20")
+def codemap_seeds_by_hits(g):
+    return search.seeds_by_hits(g, _search_hits(g))
+
+
+@query(f"{HITS_SQL} SELECT count(*) FILTER (WHERE id IS NULL) AS unresolved, count(*) FILTER (WHERE id IS NOT NULL AND hit_id NOT IN (SELECT hit_id FROM ok)) AS other_kind FROM x")
+def codemap_dropped_hits(g):
+    return search.dropped_hits(g, _search_hits(g))
+
+
+@query(f"{HITS_SQL} SELECT id, round(sum(score), 6) AS score FROM x WHERE id IS NOT NULL GROUP BY 1")
+def bm25_by_node(g):
+    return search.scores_by_node(g, _search_hits(g))
+
+
+@on_sources(
+    """SELECT sha256('src/a/' || id || '.rs' || chr(0) || id || chr(0) || '1' || chr(0) || '1') AS chunk_id, 'src/a/' || id || '.rs' AS file_path, 'crate::a::' || id AS module_path, id AS symbol_name, 'function' AS symbol_kind,
+    CAST(1 AS BIGINT) AS line_start, CAST(2 AS BIGINT) AS line_end, array_to_string(string_split(body, chr(10))[1:2], chr(10)) AS content FROM sources"""
+)
+def chunk_files(spark, sf_dir):
+    """The first two lines of every function as a chunk."""
+    path = F.concat(F.lit("src/a/"), "doc_id", F.lit(".rs"))
+    src = _sources(spark, sf_dir).select(path.alias("path"), F.col("text").alias("content"), F.col("doc_id").alias("name"))
+    symbols = src.select("path", "name", F.lit("function").alias("kind"), F.lit(1).cast("long").alias("line_start"), F.lit(2).cast("long").alias("line_end"))
+    return chunking.chunk_files(src.select("path", "content"), symbols)
+
+
 ASKED = "SELECT n_nationkey AS query_id, n_name || ' derive ' || chr(32) || CASE WHEN n_nationkey % 2 = 0 THEN 'Hash' ELSE 'must_use part_' || CAST(n_nationkey AS STRING) END AS query FROM {nation}"
 
 

@@ -79,6 +79,56 @@ def facts(path: str, text: str) -> Iterator[tuple]:
                 yield path, "call", m[1], name, at(m.start()), at(m.end())
 
 
+TYPE = re.compile(r"(?:\b\w+::)*\b([A-Za-z_]\w*)")
+NO_TYPES = frozenset("mut dyn impl ref const static for where as u8 u16 u32 u64 u128 usize i8 i16 i32 i64 i128 isize f32 f64 bool char str self".split())
+FIELD = re.compile(r"(?:^|[{,(])\s*(?:pub(?:\([^)]*\))?\s+)?\w+\s*:\s*([^,{}]+)")
+LET = re.compile(r"\blet\s+(?:mut\s+)?\w+\s*:\s*([^=;]+)")
+
+
+def type_names(text: str) -> list[tuple[str, bool]]:
+    """(name, within generics) of the types of a type expression, references, lifetimes and primitives left out."""
+    text = re.sub(r"'\w+", "", text)
+    return [(m[1], text.count("<", 0, m.start()) > text.count(">", 0, m.start())) for m in TYPE.finditer(text) if m[1] not in NO_TYPES and m[0] == text[m.start() : m.end()]]
+
+
+def type_references(path: str, text: str) -> Iterator[tuple]:
+    """(path, type, context, owner, line): where a source names a type.
+
+    Contexts: parameter, return, field, impl, let, and generic for what stands in
+    angle brackets in any of these.
+    """
+    line = lambda i: text.count("\n", 0, i) + 1
+    for m in SYMBOL.finditer(text):
+        kind, end = m[2], block_end(text, m.end(2))
+        head = text[m.start(3) : text.find("{", m.start(3), end) if "{" in text[m.start(3) : end] else end]
+        owner = re.split(r"[<(:=\s]", m[3].strip(), maxsplit=1)[0]
+        found: list[tuple[str, str, int]] = []
+        if kind == "fn":
+            params, _, returns = head.partition("->")
+            found += [("parameter", t[1], m.start(3)) for t in FIELD.finditer(params.partition("(")[1] + params.partition("(")[2].rpartition(")")[0])]
+            found += [("return", returns.partition(" where ")[0].rstrip(";"), m.start(3))] if returns else []
+            found += [("let", t[1], t.start()) for t in LET.finditer(text, m.end(), end)]
+        elif kind == "struct":
+            found += [("field", t[1], t.start(1)) for t in FIELD.finditer(text, text.find("{", m.start(3), end), end)] if "{" in text[m.start(3) : end] else []
+        elif kind == "impl":
+            owner = head.strip()
+            found.append(("impl", re.sub(r"^<[^>]*>", "", head), m.start(3)))
+        for context, t, at in found:
+            for name, inner in type_names(t):
+                yield path, name, "generic" if inner else context, owner, line(at)
+
+
+def type_uses(files: DataFrame) -> DataFrame:
+    """Type references of (path, content) rows, a narrow pass."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [f for p, t in zip(b["path"], b["content"]) if t for f in type_references(p, t)]
+            yield pd.DataFrame(rows, columns=["path", "type", "context", "owner", "line"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, type string, context string, owner string, line long")
+
+
 def lexical_facts(files: DataFrame) -> DataFrame:
     """Facts of (path, content) rows, a narrow pass."""
 

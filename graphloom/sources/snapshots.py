@@ -90,6 +90,23 @@ class SnapshotStore:
                 self._fs(p).delete(p, True)
         return ids
 
+    def backups(self) -> list[str]:
+        """Snapshots other than the current one, the newest first."""
+        root = self._jvm.org.apache.hadoop.fs.Path(self.root)
+        if not self.ids():
+            return []
+        current = (self._get("CURRENT") or "").strip()
+        found = sorted(((s.getModificationTime(), s.getPath().getName()) for s in self._fs(root).listStatus(root) if s.isDirectory()), reverse=True)
+        return [n for _, n in found if n != current and self._exists(f"{n}/manifest.json")]
+
+    def restore(self, sid: str | None = None) -> str | None:
+        """Make a snapshot the current one, the newest backup by default; None if there is none."""
+        sid = sid or next(iter(self.backups()), None)
+        if sid is None or not self._exists(f"{sid}/manifest.json"):
+            return None
+        self._put("CURRENT", sid)
+        return sid
+
     def rotate(self, keep: int) -> list[str]:
         """Delete all but the newest ``keep`` snapshots and the current one."""
         root = self._jvm.org.apache.hadoop.fs.Path(self.root)

@@ -170,6 +170,30 @@ def test_incremental_index(spark, tmp_path):
     assert again.repair(files(a="1", b="4444", d="55555")) == 1 and state() == [("a", 1, 1), ("b", 4, 3), ("d", 5, 2)]
 
 
+def test_cluster_page(spark):
+    found = spark.createDataFrame([(1, 3, 0.9, 0.8), (2, 2, 0.8, 0.8), (3, 9, 0.7, 0.6)], "cluster long, size long, avg_score double, min_score double")
+    assert rows(vector.cluster_page(found, 4), "cluster", "shown") == [(1, 3), (2, 1)]
+    assert rows(vector.cluster_page(found, 4, 1), "cluster", "shown") == [(2, 2), (3, 2)]
+    assert vector.cluster_page(found, 4, 3).count() == 0
+
+
+def test_pairs_of_blocks(spark):
+    made = [(i, [float((i * 7 + k) % 5) for k in range(4)], i % 2) for i in range(40)] + [(99, [], 0)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<double>, g int")
+    every = rows(vector.overlap_pairs(df, 0.9, block_rows=3))
+    assert every == rows(vector.overlap_pairs(df, 0.9)) and len(every) > 20
+    apart = {(a, b) for a, b, _ in every if a % 2 != b % 2}
+    assert {(a, b) for a, b, _ in rows(vector.overlap_pairs(df, 0.9, block_col="g", block_rows=3))} == apart
+
+
+def test_fields_add_up(spark):
+    c = spark.createDataFrame([(1, "parse file", "parse", None), (2, "read content", "read", "parse later")], "chunk_id long, content string, name string, doc string")
+    q = spark.createDataFrame([(1, "parse")], "query_id long, query string")
+    got = dict(rows(text.bm25_fields(c, q, ["content", "name", "doc"]), "id", "score"))
+    parts = [dict(rows(text.bm25(c.select("chunk_id", F.coalesce(f, F.lit("")).alias("content")), q), "id", "score")) for f in ("content", "name", "doc")]
+    assert got == pytest.approx({i: sum(p.get(i, 0) for p in parts) for i in (1, 2)}, abs=2e-6)
+
+
 def test_tokens_of_other_scripts(spark):
     got = spark.createDataFrame([("Él niño; naïve_über straße42 " + "x" * 41 + " ü" + "é" * 20 + " 梦境",)], "t string").select(text.tokens(F.col("t"))).first()[0]
     assert got == ["él", "niño", "naïve", "über", "straße42", "梦境"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from graphloom.sources import files, rust_facts
+from graphloom.sources.rust_facts import type_uses
 from graphloom.sources.snapshots import SnapshotStore
 from graphloom.streaming import windows
 
@@ -78,3 +79,23 @@ def test_watch_folder(spark, tmp_path):
     (tmp_path / "src/b.rs").write_text("fn b() {}")
     go()
     assert [p.rsplit("/", 1)[1] for p in seen] == ["a.rs", "b.rs"]
+
+
+def test_type_references(spark):
+    source = "pub struct Foo<T> { pub a: Vec<Bar>, b: &'a str }\nimpl Display for Foo<u8> {\n    fn fmt(&self, f: &mut Formatter<'_>) -> Result<(), Error> { let x: std::collections::HashMap<Key, u32> = y; }\n}\nfn solo(a: u32, b: Option<Qux>) -> Bar {}\n"
+    files = spark.createDataFrame([("p", source), ("q", None), ("r", "")], "path string, content string")
+    got = {(r["type"], r["context"], r["owner"], r["line"]) for r in type_uses(files).collect()}
+    assert got == {
+        ("Vec", "field", "Foo", 1), ("Bar", "generic", "Foo", 1), ("Display", "impl", "Display for Foo<u8>", 2), ("Foo", "impl", "Display for Foo<u8>", 2), ("Formatter", "parameter", "fmt", 3),
+        ("Result", "return", "fmt", 3), ("Error", "generic", "fmt", 3), ("HashMap", "let", "fmt", 3), ("Key", "generic", "fmt", 3), ("Option", "parameter", "solo", 5), ("Qux", "generic", "solo", 5), ("Bar", "return", "solo", 5),
+    }
+
+
+def test_restore(spark, tmp_path):
+    store = SnapshotStore(spark, f"file://{tmp_path}/store")
+    assert store.backups() == [] and store.restore() is None
+    first, _ = store.build("w", "1", {"t": spark.range(1)})
+    second, _ = store.build("w", "2", {"t": spark.range(2)})
+    assert store.backups() == [first] and store.open()["t"].count() == 2
+    assert store.restore() == first and store.open()["t"].count() == 1 and store.backups() == [second]
+    assert store.restore("nothing") is None and store.restore(second) == second
