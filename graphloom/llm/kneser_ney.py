@@ -68,7 +68,7 @@ U64 = np.uint64
 START = 0  # number of the start token; words have 1 and more
 UNKNOWN = U64((1 << 64) - 1)
 END_HASH = 2
-FLUSH = 2_000_000
+FLUSH = 1_400_000
 GROUP_BYTES = 2_500_000
 CACHE_BYTES = 1 << 28  # of tables whose files cannot be mapped
 
