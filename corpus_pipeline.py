@@ -38,8 +38,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each group of linked fingerprints, and those with a null id."""
-    return simhash.keep_one(docs.select(COLUMNS))
+    """Keep the first document of each group of near copies by five-word shingles, and those with a null id."""
+    return simhash.keep_one(docs.select(COLUMNS), groups=simhash.near_groups)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

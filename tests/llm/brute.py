@@ -71,6 +71,40 @@ def simhash(rows, budget=2):
     return [(i, f"{x:016x}", least.get(label[x])) for i, x in f]
 
 
+def fingerprint_tables(text, width=5, tables=16):
+    w = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    width = min(width, len(w))
+    shingles = [" ".join(w[k : k + width]).encode() for k in range(len(w) - width + 1)] if w else []
+    out = []
+    for t in range(tables):
+        count = [0] * 64
+        for s in shingles:
+            h = xxhash.xxh64_intdigest(s, 42)
+            if t:
+                h = (h + t * 0x9E3779B97F4A7C15) % 2**64
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+                h ^= h >> 31
+            for b in range(64):
+                count[b] += h >> b & 1
+        out.append(sum((2 * c > len(shingles)) << b for b, c in enumerate(count)))
+    return out
+
+
+def near(rows, budget=4):
+    f = [(i, fingerprint_tables(t)) for i, t in rows]
+    label = list(range(len(f)))
+    for x in range(len(f)):
+        for y in range(x):
+            if label[x] != label[y] and any((p ^ q).bit_count() <= budget for p, q in zip(f[x][1], f[y][1])):
+                old, new = label[x], label[y]
+                label = [new if v == old else v for v in label]
+    least = {}
+    for v, (i, _) in zip(label, f):
+        least[v] = min(i, least.get(v, i))
+    return [(i, least[v]) for v, (i, _) in zip(label, f)]
+
+
 def substring(rows, window=50):
     first = {}
     for i, t in rows:

@@ -121,6 +121,22 @@ def test_simhash(edge, docs, rows):
     assert key(r["doc_id"] for r in kept.collect()) == key(i for i, _, c in brute.simhash(EDGE) if i is None or i == c)
 
 
+def test_near_groups(edge, docs, rows):
+    mine = [(100 + k, " ".join(f"w{i}" if i % 100 or not k else f"x{k}y{i}" for i in range(300))) for k in range(5)]  # one word in 100 replaced
+    mine += [(200, " ".join(f"w{i}" for i in range(300, 600)))]
+    spark = docs.sparkSession
+    near = simhash.near_groups(spark.createDataFrame(mine, "doc_id long, text string"))
+    got = dict(tuples(near))
+    assert got[200] == 200 and {got[100 + k] for k in range(5)} == {100}
+    with_ids = [(i, t) for i, t in EDGE if i is not None]
+    assert key(tuples(simhash.near_groups(edge))) == key(brute.near(with_ids))
+    assert key(tuples(simhash.near_groups(docs, max_leaves=3))) == key(brute.near(rows))
+    assert simhash.near_groups(edge.limit(0)).count() == 0
+    kept = simhash.keep_one(edge, groups=simhash.near_groups)
+    assert kept.columns == edge.columns
+    assert key(r["doc_id"] for r in kept.collect()) == key([None] * (len(EDGE) - len(with_ids)) + [i for i, c in brute.near(with_ids) if i == c])
+
+
 @pytest.mark.parametrize(("max_leaves", "walk"), [(3, 200_000), (100_000, 200_000), (3, 1), (100_000, 50)])
 def test_trie_join(spark, max_leaves, walk):
     rng = random.Random(5)
@@ -131,7 +147,7 @@ def test_trie_join(spark, max_leaves, walk):
             values.add(v ^ (1 << rng.randrange(64)) if rng.random() < 0.5 else v)
     values |= {(1 << 63) | rng.getrandbits(20) for _ in range(150)}  # one hot block
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    edges = simhash.near_fingerprints(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, max_leaves, walk).collect()
+    edges = simhash.near_fingerprints(spark.createDataFrame([(0, v) for v in signed], "table int, fp long"), 2, max_leaves, walk).collect()
     adj = {}
     for a, b in ((r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in edges):
         assert (a ^ b).bit_count() <= 2
@@ -639,7 +655,7 @@ def test_pipeline(spark, rows):
     left = [(i, t) for i, t in rows if t and any(c.isalpha() for c in t)]
     text = dict(left)
     left = [(i, text[i]) for i, _, _, kept, _ in brute.exact(left) if kept]
-    left = [(i, text[i]) for i, _, c in brute.simhash(left) if i == c]
+    left = [(i, text[i]) for i, c in brute.near(left) if i == c]
     items = [decontaminate.WORD.findall(t.lower()) for _, t in tuples(read_table(spark, SF, "benchmark"))]
 
     def overlaps(t):
