@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.held import held
 
 BLOCK = 256
+ROWS = 4096  # blocks parsed in step
 DENSE = 1 << 25  # cells of the tables of all languages; automata beyond are kept as edges
 GAP, OTHER, FIRST = 0, 1, 2
 PHRASE = np.uint32(1 << 30)  # phrases that end, above the bits of the state
@@ -176,8 +177,8 @@ class CrossParser:
         at = starts[:-1][owner] + (np.arange(len(owner)) - first[owner]) * BLOCK
         end = np.minimum(at + BLOCK, starts[1:][owner])
         phrases = np.zeros((len(self.languages), len(texts)))
-        for lo in range(0, len(owner), 8192):
-            a, e, o = at[lo : lo + 8192], end[lo : lo + 8192], owner[lo : lo + 8192]
+        for lo in range(0, len(owner), ROWS):
+            a, e, o = at[lo : lo + ROWS], end[lo : lo + ROWS], owner[lo : lo + ROWS]
             grid = a[None, :] + np.arange(BLOCK + 1)[:, None]
             grid = np.where(grid < e[None, :], flat[np.minimum(grid, len(flat) - 1)], self.padding)
             for k in range(len(self.languages)):
