@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.components import connected_components
-from graphloom.operators.text import top_k
+from graphloom.operators.ranking import nearest as nearest
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -30,17 +30,6 @@ def unit(v: Column) -> Column:
     return F.when(n == 0, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, score, rank): exact nearest neighbours, score (1 + cos) / 2.
-
-    queries: query_id, query_vector; a stated set, all compared with every row.
-    """
-    v = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
-    pairs = v.crossJoin(queries)  # the stated query set; broadcast where its size is known to allow it
-    score = F.round((1 + cosine(F.col("v"), F.col("query_vector"))) / 2, 6)
-    return top_k(pairs.select("query_id", "id", score.alias("score")), k)
-
-
 def overlap_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vector_col: str = "embedding", block_col: str | None = None, block_rows: int = 2000) -> DataFrame:
     """(id_a, id_b, score): pairs with cosine at or above the threshold.
 

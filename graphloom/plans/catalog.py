@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions import chunking
 from graphloom.functions.identity import node_id
-from graphloom.operators import incremental, navigate, recipes, relations, search, spans, surface, text, traverse, vector
+from graphloom.operators import incremental, navigate, ranking, recipes, relations, search, spans, surface, text, traverse, vector
 from graphloom.operators.graph import Graph, page
 from graphloom.plans.projection import documents_chunks, graph, oracle, sources
 from graphloom.session import materialize, new_path, read_table
@@ -722,31 +722,34 @@ QUALITY_SQL = (
 )
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of each query the 100 best by text and by vector, and what is relevant: vectors with its label."""
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Of each query the 100 best by text and by vector."""
     v, docs = read_table(spark, sf_dir, "embeddings"), read_table(spark, sf_dir, "documents")
     asked = docs.where("doc_id % 100 = 0").join(v.select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    by_text = text.top_k(text.bm25(documents_chunks(docs), asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))), 100)
+    by_text = ranking.bm25_top(documents_chunks(docs), asked.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), 100)
+    return materialize(by_text, "by-text"), materialize(_knn(spark, sf_dir, 100), "by-vector")
+
+
+def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevant are vectors with the query's label."""
+    v = read_table(spark, sf_dir, "embeddings")
     mine = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    relevant = mine.join(v.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-    return materialize(by_text, "by-text"), materialize(_knn(spark, sf_dir, 100), "by-vector"), relevant
+    return mine.join(v.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
 
 
 @query(f"{FUSED_SQL} SELECT query_id, id, score, rank FROM fused WHERE k = 60 AND rank <= 10", on_graph=False)
 def hybrid_rrf(spark, sf_dir):
-    a, b, _ = _lists(spark, sf_dir)
-    return search.fuse(a, b)
+    return search.fuse(*_lists(spark, sf_dir))
 
 
 @query(f"{QUALITY_SQL} SELECT query_id, ndcg, mrr, map, recall, precision FROM q WHERE k = 60", on_graph=False)
 def ndcg_mrr_map(spark, sf_dir):
-    a, b, relevant = _lists(spark, sf_dir)
-    return search.quality(search.fuse(a, b, None), relevant)
+    return search.quality(search.fuse(*_lists(spark, sf_dir), None), _relevant(spark, sf_dir))
 
 
 @query(f"{QUALITY_SQL} SELECT CAST(k AS BIGINT) AS k, round(avg(ndcg), 5) AS ndcg FROM q GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1", on_graph=False)
 def tune_k(spark, sf_dir):
-    return search.tune_k(*_lists(spark, sf_dir))
+    return search.tune_k(*_lists(spark, sf_dir), _relevant(spark, sf_dir))
 
 
 PROMPT = "which must_use functions derive Hash or Debug in NATION_3"

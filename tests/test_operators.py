@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import identity
-from graphloom.operators import incremental, navigate, relations, search, spans, surface, text, traverse, vector
+from graphloom.operators import incremental, navigate, ranking, relations, search, spans, surface, text, traverse, vector
 from graphloom.operators.components import connected_components
 from graphloom.operators.graph import Graph, page
 
@@ -121,6 +123,23 @@ def test_bm25(spark):
     assert text.postings(c.limit(0)).count() == 0
 
 
+def test_best_by_blocks(spark):
+    words = "a b c d e f g h the the of".split()
+    c = spark.createDataFrame([(i, None if i == 7 else " ".join(words[(i * j) % 11] for j in range(i % 9))) for i in range(60)], "chunk_id long, content string").repartition(3)
+    q = spark.createDataFrame([(1, "A the"), (2, "h of b"), (3, "nothing"), (4, None), (5, "the of a b c d e f g h")], "query_id long, query string")
+    for k, block in ((1, 5), (4, 1), (100, 1 << 22)):
+        assert rows(ranking.bm25_top(c, q, k, block_postings=block)) == rows(text.top_k(text.bm25(c, q), k).select("query_id", "id", "score", "rank"))
+    assert ranking.bm25_top(c.limit(0), q, 3).count() == ranking.bm25_top(c, q.limit(0), 3).count() == 0
+    v = spark.createDataFrame([(i, None if i == 8 else [float(i % 5 - 2), float(i % 3), None if i == 4 else 1.0, 2.0][: 4 - (i == 6)]) for i in range(40)] + [(99, [0.0, 0.0])], "vec_id string, embedding array<float>")
+    asked = v.where("vec_id IN (3, 4, 6, 8, 99)").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    scored = v.crossJoin(asked).select("query_id", F.col("vec_id").alias("id"), F.round((1 + vector.cosine(F.col("embedding"), F.col("query_vector"))) / 2, 6).alias("score"))
+    for k, block in ((3, 4), (60, 1000)):
+        near = vector.nearest(v.repartition(3), asked, k, block_rows=block)
+        assert sorted(map(str, near.collect())) == sorted(map(str, text.top_k(scored, k).collect()))
+        assert not re.search("Cartesian|NestedLoop", near._jdf.queryExecution().toString())
+    assert vector.nearest(v.limit(0), asked, 3).count() == vector.nearest(v, asked.limit(0), 3).count() == 0
+
+
 def test_text(spark):
     d = spark.createDataFrame([(1, "a\nbé\n\nfn x() { unsafe {\n} // SAFETY\n unsafe { y.unwrap() }"), (2, "")], "doc_id long, text string")
     assert rows(text.line_offsets(d))[:4] == [(1, 1, 0, 1), (1, 2, 2, 3), (1, 3, 6, 0), (1, 4, 7, 17)]
