@@ -45,11 +45,12 @@ def resilient(text, vector, limit: int = 10) -> DataFrame:
     return fuse(*found, limit=None)
 
 
-def quality(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
+def quality(ranked: DataFrame, relevant: DataFrame, k: int = 10, totals: DataFrame | None = None) -> DataFrame:
     """Per query: ndcg, mrr, map, recall and precision at k.
 
     ranked: query_id, id, rank; relevant: query_id, id. Recall is hits over the
-    number of relevant rows. Queries without results score 0.
+    number of relevant rows. Queries without results score 0. With totals (query_id,
+    total: the number of relevant rows), relevant needs those among the ranked only.
     """
     r = ranked.where(F.col("rank") <= k).join(relevant.select("query_id", "id", F.lit(1).alias("rel")), ["query_id", "id"], "left").na.fill(0, ["rel"])
     hits = F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
@@ -61,7 +62,7 @@ def quality(ranked: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
         F.sum("rel").alias("found"),
         F.count("*").alias("n"),
     )
-    total = relevant.groupBy("query_id").agg(F.count("*").alias("total"))
+    total = relevant.groupBy("query_id").agg(F.count("*").alias("total")) if totals is None else totals
     best = F.aggregate(F.sequence(F.lit(1), F.least(F.col("total"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
     rows = total.join(per, "query_id", "left")
     r6 = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n)

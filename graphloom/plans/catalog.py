@@ -6,6 +6,8 @@ differ between scale factors.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -730,13 +732,24 @@ def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return materialize(by_text, "by-text"), materialize(_knn(spark, sf_dir, 100), "by-vector")
 
 
-def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _all_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Relevant are vectors with the query's label."""
     v = read_table(spark, sf_dir, "embeddings")
     mine = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
     return mine.join(v.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
 
 
+def _relevant(spark: SparkSession, sf_dir: str, *lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Relevant are vectors with the query's label: those among the lists, and how many there are."""
+    kinds = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    mine = kinds.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    listed = reduce(DataFrame.union, [x.select("query_id", "id") for x in lists]).distinct()
+    pairs = listed.join(mine, "query_id").join(kinds, ["id", "label"]).select("query_id", "id")
+    sizes = kinds.groupBy("label").agg(F.count("*").alias("n"))
+    totals = mine.join(sizes, "label").groupBy("query_id").agg(F.sum("n").alias("total"))
+    return materialize(pairs, "relevant"), materialize(totals, "relevant-totals")
+
+
 @query(f"{FUSED_SQL} SELECT query_id, id, score, rank FROM fused WHERE k = 60 AND rank <= 10", on_graph=False)
 def hybrid_rrf(spark, sf_dir):
     return search.fuse(*_lists(spark, sf_dir))
@@ -744,12 +757,14 @@ def hybrid_rrf(spark, sf_dir):
 
 @query(f"{QUALITY_SQL} SELECT query_id, ndcg, mrr, map, recall, precision FROM q WHERE k = 60", on_graph=False)
 def ndcg_mrr_map(spark, sf_dir):
-    return search.quality(search.fuse(*_lists(spark, sf_dir), None), _relevant(spark, sf_dir))
+    lists = _lists(spark, sf_dir)
+    pairs, totals = _relevant(spark, sf_dir, *lists)
+    return search.quality(search.fuse(*lists, None), pairs, totals=totals)
 
 
 @query(f"{QUALITY_SQL} SELECT CAST(k AS BIGINT) AS k, round(avg(ndcg), 5) AS ndcg FROM q GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1", on_graph=False)
 def tune_k(spark, sf_dir):
-    return search.tune_k(*_lists(spark, sf_dir), _relevant(spark, sf_dir))
+    return search.tune_k(*_lists(spark, sf_dir), _all_relevant(spark, sf_dir))
 
 
 PROMPT = "which must_use functions derive Hash or Debug in NATION_3"

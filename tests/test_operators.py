@@ -140,6 +140,14 @@ def test_best_by_blocks(spark):
     assert vector.nearest(v.limit(0), asked, 3).count() == vector.nearest(v, asked.limit(0), 3).count() == 0
 
 
+def test_quality_by_totals(spark):
+    a = spark.createDataFrame([(1, 10, 0.9, 1), (1, 11, 0.8, 2)], "query_id long, id long, score double, rank long")
+    every = spark.createDataFrame([(1, 11), (1, 12), (2, 5)], "query_id long, id long")
+    totals = every.groupBy("query_id").agg(F.count("*").alias("total"))
+    listed = every.join(a.select("query_id", "id"), ["query_id", "id"])
+    assert rows(search.quality(a, listed, totals=totals)) == rows(search.quality(a, every))
+
+
 def test_text(spark):
     d = spark.createDataFrame([(1, "a\nbé\n\nfn x() { unsafe {\n} // SAFETY\n unsafe { y.unwrap() }"), (2, "")], "doc_id long, text string")
     assert rows(text.line_offsets(d))[:4] == [(1, 1, 0, 1), (1, 2, 2, 3), (1, 3, 6, 0), (1, 4, 7, 17)]
