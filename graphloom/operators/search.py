@@ -73,11 +73,11 @@ def mean_quality(per_query: DataFrame) -> DataFrame:
     return per_query.agg(F.count("*").alias("queries"), *[F.round(F.avg(c), 5).alias(c) for c in ("ndcg", "mrr", "map", "recall", "precision")])
 
 
-def tune_k(text: DataFrame, vector: DataFrame, relevant: DataFrame, ks: Sequence[int] = TUNED) -> DataFrame:
+def tune_k(text: DataFrame, vector: DataFrame, relevant: DataFrame, ks: Sequence[int] = TUNED, totals: DataFrame | None = None) -> DataFrame:
     """(k, ndcg) of the best fusion constant; the first of equals."""
     rows = None
     for k in ks:
-        one = mean_quality(quality(fuse(text, vector, None, k), relevant)).select(F.lit(k).cast("long").alias("k"), "ndcg")
+        one = mean_quality(quality(fuse(text, vector, None, k), relevant, totals=totals)).select(F.lit(k).cast("long").alias("k"), "ndcg")
         rows = one if rows is None else rows.unionByName(one)
     return rows.agg(F.max_by("k", F.struct("ndcg", -F.col("k"))).alias("k"), F.max("ndcg").alias("ndcg"))
 

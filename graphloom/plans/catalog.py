@@ -732,13 +732,6 @@ def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return materialize(by_text, "by-text"), materialize(_knn(spark, sf_dir, 100), "by-vector")
 
 
-def _all_relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Relevant are vectors with the query's label."""
-    v = read_table(spark, sf_dir, "embeddings")
-    mine = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label")
-    return mine.join(v.select(F.col("vec_id").alias("id"), "label"), "label").select("query_id", "id")
-
-
 def _relevant(spark: SparkSession, sf_dir: str, *lists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Relevant are vectors with the query's label: those among the lists, and how many there are."""
     kinds = read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
@@ -764,7 +757,9 @@ def ndcg_mrr_map(spark, sf_dir):
 
 @query(f"{QUALITY_SQL} SELECT CAST(k AS BIGINT) AS k, round(avg(ndcg), 5) AS ndcg FROM q GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1", on_graph=False)
 def tune_k(spark, sf_dir):
-    return search.tune_k(*_lists(spark, sf_dir), _all_relevant(spark, sf_dir))
+    lists = _lists(spark, sf_dir)
+    pairs, totals = _relevant(spark, sf_dir, *lists)
+    return search.tune_k(*lists, pairs, totals=totals)
 
 
 PROMPT = "which must_use functions derive Hash or Debug in NATION_3"

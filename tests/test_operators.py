@@ -146,6 +146,7 @@ def test_quality_by_totals(spark):
     totals = every.groupBy("query_id").agg(F.count("*").alias("total"))
     listed = every.join(a.select("query_id", "id"), ["query_id", "id"])
     assert rows(search.quality(a, listed, totals=totals)) == rows(search.quality(a, every))
+    assert rows(search.tune_k(a, a, listed, totals=totals)) == rows(search.tune_k(a, a, every))
 
 
 def test_text(spark):
