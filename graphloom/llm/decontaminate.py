@@ -34,7 +34,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.files import mapped, write_file
@@ -235,9 +235,7 @@ class SeedFiles:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
-def _hits(spark: SparkSession, files: SeedFiles):
-    sent = spark.sparkContext.broadcast(files)  # names of files and masks only
-
+def _hits(sent):
     @F.pandas_udf("array<bigint>")
     def hits(texts: pd.Series) -> pd.Series:
         out = [sent.value.hits(t) for t in texts]
@@ -246,6 +244,22 @@ def _hits(spark: SparkSession, files: SeedFiles):
     return hits.asNondeterministic()  # so that it is not repeated for a filter on its result
 
 
+def _found(sent):
+    """(id, text) to (id, text, hits), texts with a hit only; a few are decoded at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 200):
+                some = b.slice(lo, 200)
+                hits = [sent.value.hits(t) for t in some.column(1).to_pylist()]
+                at = pa.array([i for i, h in enumerate(hits) if len(h)], pa.int64())
+                if len(at):
+                    found = pa.array([h.view(np.int64) for h in hits if len(h)], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), some.column(1).take(at), found], names=["id", "text", "hits"])
+
+    return run
+
+
 def _verify(how: tuple):
     """(rid, iid, text, item text) to those pairs that overlap."""
 
@@ -280,7 +294,8 @@ class Benchmark:
         files = materialize(files.mapInArrow(_write_seeds(new_path(spark, "seeds"), bits), "shard long, file string"), "benchmark-seed-files")
         lengths = [r[0] for r in self.seeds.select("length").distinct().collect()]  # up to the stretch: a few
         masks = sorted({m for n in lengths for m in plan(n, *how)[2]})
-        self.hits = _hits(spark, SeedFiles(bits, {r["shard"]: r["file"] for r in files.collect()}, masks))
+        self.sent = spark.sparkContext.broadcast(SeedFiles(bits, {r["shard"]: r["file"] for r in files.collect()}, masks))  # names of files and masks only
+        self.hits = _hits(self.sent)
 
     def overlaps(self, found: DataFrame) -> DataFrame:
         """(rid, iid, n_matched, share, start) of documents (rid, text, hits)."""
@@ -293,8 +308,9 @@ class Benchmark:
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_tokens: int = 6, stretch: int = 13, similarity: float = 0.8, short_items: bool = False, seeds_per_file: int = 1 << 24) -> DataFrame:
     """(doc id, item id, n_matched, share, start): one row per document and item."""
     b = Benchmark(benchmark, item_col, item_text_col, (min_tokens, stretch, similarity, short_items), seeds_per_file)
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("hits", b.hits("text"))
-    found = materialize(found.where("hits is not null").withColumn("rid", F.monotonically_increasing_id()), "benchmark-hits")
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_found(b.sent), f"id {kind}, text string, hits array<long>")
+    found = materialize(found.withColumn("rid", F.monotonically_increasing_id()), "benchmark-hits")
     out = b.overlaps(found).join(found.select("rid", "id"), "rid").join(b.items.select("iid", "item"), "iid")
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "n_matched", "share", "start")
 

@@ -694,3 +694,18 @@ def test_encode_stage(spark, edge):
     m = pieces.PieceModel(SP)
     got = [(r["doc_id"], None if r["ids"] is None else m.decode(bytes(r["ids"]))) for r in out.collect()]
     assert key(got) == key(EDGE) and corpus_pipeline.STAGES[4][1](spark, docs.limit(0), SF).count() == 0
+
+
+def test_decontaminate_scan_in_slices():
+    """Few texts are decoded at a time, and rows without a hit stay behind."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    hits = lambda t: np.arange(len(t or ""), dtype=np.uint64)
+    texts = [None if i % 3 == 0 else "" if i % 3 == 1 else "ab" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(texts, pa.string())], names=["id", "text"])
+    out = list(decontaminate._found(SimpleNamespace(value=SimpleNamespace(hits=hits)))(iter([batch, batch.slice(0, 0)])))
+    assert max(b.num_rows for b in out) <= 200
+    got = pa.Table.from_batches(out).to_pydict()
+    assert got == {"id": list(range(2, 1000, 3)), "text": ["ab"] * 333, "hits": [[0, 1]] * 333}
