@@ -32,7 +32,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -167,17 +167,36 @@ class PieceEncoder:
         # with a normalizer, a token's string may arise from others: nothing is cut then
         self.added = re.compile("|".join(map(re.escape, added)) if self.model.normalizer is None and added else "$^" if not added else "")
         self.known: dict[str, bytes] = {}
+        vocabulary = self.model.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens whose first byte is a space
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
         self.max_pieces, self.max_piece = max_pieces, max_piece
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, each after a space. They have none themselves, so that they can be
+        encoded as one text and told apart by the tokens that start with one."""
+        text = " " + " ".join(pieces)
+        if len(pieces) > 1 and not self.added.search(text):
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cuts = np.flatnonzero(self.spaced[ids])
+            if len(cuts) == len(pieces) and cuts[0] == 0:
+                raw, at = ids.tobytes(), [*(cuts * 4).tolist(), len(ids) * 4]
+                return [raw[a:b] for a, b in zip(at, at[1:])]
+        return self._encode([f" {p}" for p in pieces])
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of pieces that follow a space. A final stop or comma after a
         letter is always a token of its own, so such pieces share their stem."""
         stems = {p[:-1] if len(p) > 1 and p[-1] in (".", ",") and p[-2].isalpha() and p[-2] < "\u0250" else p for p in missing if p}
-        stems = [s for s in stems if s not in self.known]
-        new = dict(zip(stems, self._encode([f" {s}" for s in stems])))
+        plain, other = [], []
+        for s in stems:
+            if s not in self.known:
+                (other if " " in s or s[0].isspace() or s[-1].isspace() else plain).append(s)
+        new = dict(zip(plain, self._pieces(plain)))
+        new.update(zip(other, self._encode([f" {s}" for s in other])))
         ends = dict(zip(".,", self._encode([".", ","])))
         if "" in missing:
             new[""] = self._encode([" "])[0]
@@ -201,13 +220,16 @@ class PieceEncoder:
             rests.append(parts[1:])
         if len(self.known) > self.max_pieces:
             self.known.clear()
-        missing = [p for p in set(chain.from_iterable(rests)) if p not in self.known]
-        new = self._learn(missing) if missing else {}
-        long = {p: new.pop(p) for p in [p for p in new if len(p) > self.max_piece]}
-        self.known.update(new)
-        look = self.known.__getitem__ if not long else lambda p: long[p] if p in long else self.known[p]
-        heads = self._encode(firsts)
-        return [h + b"".join(map(look, r)) for h, r in zip(heads, rests)]
+        flat = list(chain.from_iterable(rests))
+        found = list(map(self.known.get, flat))
+        lost = [i for i, x in enumerate(found) if x is None]
+        if lost:
+            new = self._learn({flat[i] for i in lost})
+            for i in lost:
+                found[i] = new[flat[i]]
+            self.known.update((p, x) for p, x in new.items() if len(p) <= self.max_piece)
+        ends = list(accumulate(map(len, rests)))
+        return [h + b"".join(found[b - len(r) : b]) for h, r, b in zip(self._encode(firsts), rests, ends)]
 
 
 def _encoder(path: str) -> PieceEncoder:

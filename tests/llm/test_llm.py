@@ -709,3 +709,19 @@ def test_decontaminate_scan_in_slices():
     assert max(b.num_rows for b in out) <= 200
     got = pa.Table.from_batches(out).to_pydict()
     assert got == {"id": list(range(2, 1000, 3)), "text": ["ab"] * 333, "hits": [[0, 1]] * 333}
+
+
+@given(st.lists(st.text(st.characters(exclude_categories=["Cs"], exclude_characters=" "), min_size=1, max_size=8), max_size=20))
+@settings(max_examples=150, deadline=None)
+def test_token_binary_pieces_as_one_text(drawn):
+    """New pieces encoded together have the ids that they have alone."""
+    encoder = token_binary._encoder(tokenizer_path("byte_bpe_50k.json"))
+    drawn += ["a\nb", "x y", "'s", "1,000", "Ġ", "　z", "don't.", "​", "<|endoftext|>"][: len(drawn) % 10]
+    pieces = [p for p in dict.fromkeys(drawn) if not p[0].isspace() and not p[-1].isspace()]
+    alone = [np.array(encoder.model.encode(f" {p}", add_special_tokens=False).ids, "<u4").tobytes() for p in pieces]
+    assert encoder._pieces(pieces) == alone
+    calls, encoder._encode = [], lambda texts: calls.append(texts) or type(encoder)._encode(encoder, texts)
+    try:
+        assert encoder._pieces(["alpha", "beta", "a\nb"]) and not calls
+    finally:
+        del encoder._encode
