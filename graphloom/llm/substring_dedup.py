@@ -124,11 +124,11 @@ class WaveletMatrix:
         self.first = self.forward(np.arange(n_symbols), np.zeros(n_symbols, np.int64))
 
     def forward(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
-        i = i.astype(np.int32)
+        i, c = i.astype(np.int32), c.astype(np.int32)
         for k in range(self.levels):
             word = i >> 6
-            ones = self.ones[k][word] + np.bitwise_count(self.bits[k][word] & BELOW[i & 63])
-            i = np.where(c & (1 << (self.levels - 1 - k)), ones + self.zeros[k], i - ones)
+            ones = self.ones[k].take(word) + np.bitwise_count(self.bits[k].take(word) & BELOW.take(i & 63))
+            i = np.where(c & np.int32(1 << (self.levels - 1 - k)), ones + self.zeros[k], i - ones)
         return i
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -157,7 +157,7 @@ class FMIndex:
             nxt = np.zeros(len(text), np.int64)
             nxt[:-step] = rank[step:] + 1
             key = rank * (int(rank.max()) + 2) + nxt
-            self.order = np.argsort(key, kind="stable")
+            self.order = np.argsort(key)  # the order of equal suffixes does not matter: matches see whole classes of them
             step *= 2
             if step == DEPTH:
                 break
@@ -175,7 +175,8 @@ class FMIndex:
             a, b = a + np.where(same, size, 0), b + np.where(same, size, 0)
         self.lcp[0] = self.lcp[-1] = -1
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])
-        self.bwt = WaveletMatrix(text[sa - 1], n_symbols)
+        self.before = text[sa - 1].astype(np.int32)
+        self.bwt = WaveletMatrix(self.before, n_symbols)
         self._nearest: tuple[np.ndarray, np.ndarray] | None = None
 
     def classes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +229,11 @@ class FMIndex:
                 lost = todo[~known]
                 lo[lost], hi[lost], length[lost] = 0, n, 0
                 todo, c = todo[known], c[known]
-                new_lo = self.starts[c] + self.bwt.rank(c, lo[todo])
-                new_hi = self.starts[c] + self.bwt.rank(c, hi[todo])
+                old_lo, old_hi = lo[todo], hi[todo]
+                new_lo = self.starts[c] + self.bwt.rank(c, old_lo)
+                new_hi = new_lo + (self.before[old_lo] == c)  # of a single row
+                wide = np.flatnonzero(old_hi - old_lo > 1)
+                new_hi[wide] = self.starts[c[wide]] + self.bwt.rank(c[wide], old_hi[wide])
                 ok = new_lo < new_hi
                 hit = todo[ok]
                 lo[hit], hi[hit] = new_lo[ok], new_hi[ok]

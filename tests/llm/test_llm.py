@@ -725,3 +725,21 @@ def test_token_binary_pieces_as_one_text(drawn):
         assert encoder._pieces(["alpha", "beta", "a\nb"]) and not calls
     finally:
         del encoder._encode
+
+
+def test_substring_index_counts_once_for_single_rows():
+    """An interval of one row needs no second count, and matches stay right."""
+    rng = np.random.default_rng(4)
+    seqs = [rng.integers(1, 40, n) for n in (300, 1, 80)]
+    seqs.append(np.concatenate([seqs[0][50:120], rng.integers(1, 40, 30)]))
+    index, counted = substring_dedup.FMIndex(seqs, 40), []
+    rank = index.bwt.rank
+    index.bwt.rank = lambda c, i: counted.append(len(c)) or rank(c, i)
+    lengths, rows = index.matching_statistics(seqs, 50)
+    assert sum(counted) < 1.6 * sum(map(len, seqs))
+    for k, s in enumerate(seqs):
+        for i in range(len(s)):
+            assert lengths[k, i] == min(50, len(s) - i)
+            at = index.order[rows[k, i]] - np.concatenate([[0], np.cumsum(index.sizes + 1)])[index.owner[index.order[rows[k, i]]]]
+            owner = seqs[index.owner[index.order[rows[k, i]]]]
+            assert (owner[at : at + lengths[k, i]] == s[i : i + lengths[k, i]]).all()
