@@ -158,7 +158,7 @@ _CUT = re.compile(r"(?<=\S)(?= \S)")
 class PieceEncoder:
     """Encodes whole texts with a ``tokenizers`` file, piece by piece."""
 
-    def __init__(self, path: str, max_pieces: int = 1_500_000, max_piece: int = 48):
+    def __init__(self, path: str, max_pieces: int = 1_200_000, max_piece: int = 48):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
