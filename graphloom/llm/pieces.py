@@ -320,21 +320,30 @@ def _model(path: str) -> PieceModel:
     return held(("pieces", path), lambda: PieceModel(path))
 
 
-def _each(path: str, what: str, kind: pa.DataType, name: str):
+def _each(path: str, decoded: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = getattr(_model(path), what)
+        m = _model(path)
         for b in batches:
             for start in range(0, b.num_rows, 1000):
                 some = b.slice(start, 1000)
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array([f(x) for x in some.column(1).to_pylist()], kind)], names=[b.schema.names[0], name])
+                ids = [m.encode(x) for x in some.column(1).to_pylist()]
+                cols = {b.schema.names[0]: some.column(0), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    cols[decoded] = pa.array([m.decode(x) for x in ids], pa.string())
+                yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     return run
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids): the ids of each text as little-endian u32, a narrow pass."""
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
+    """(id, ids): the ids of each text as little-endian u32, a narrow pass.
+
+    ``decoded`` names a further column with the text that the ids spell. The worker
+    that made the ids decodes them, so that a task has one worker with the model, not two.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(_each(model, "encode", pa.binary(), "ids"), f"`{id_col}` {kind}, ids binary")
+    more = f", `{decoded}` string" if decoded else ""
+    return docs.select(id_col, text_col).mapInArrow(_each(model, decoded), f"`{id_col}` {kind}, ids binary{more}")
 
 
 def decode_column(encoded: DataFrame, model: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:

@@ -47,9 +47,8 @@ def op8_url_filter(spark, sf_dir):
 def op9_sentencepiece(spark, sf_dir):
     """Encodes every text, decodes the ids, and digests both."""
     model = tokenizer_path("piece_bpe_32k.model")
-    ids = pieces.encode_documents(read_table(spark, sf_dir, "documents"), model)
-    digests = ids.select("doc_id", "ids").withColumns({"n_pieces": (F.octet_length("ids") / 4).cast("long"), "ids_crc32": F.crc32("ids")})
-    return pieces.decode_column(digests, model).select("doc_id", "n_pieces", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
+    rows = pieces.encode_documents(read_table(spark, sf_dir, "documents"), model, decoded="decoded")
+    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op10_warc(spark, sf_dir):

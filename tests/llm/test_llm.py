@@ -743,3 +743,13 @@ def test_substring_index_counts_once_for_single_rows():
             at = index.order[rows[k, i]] - np.concatenate([[0], np.cumsum(index.sizes + 1)])[index.owner[index.order[rows[k, i]]]]
             owner = seqs[index.owner[index.order[rows[k, i]]]]
             assert (owner[at : at + lengths[k, i]] == s[i : i + lengths[k, i]]).all()
+
+
+def test_op9_has_one_worker_a_task(spark, edge):
+    """Ids are decoded where they are made: one Python step, hence one model, a task."""
+    plan = registry.QUERIES["op9_sentencepiece"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert sum(plan.count(x) for x in ("MapInArrow", "ArrowEvalPython", "MapInPandas", "BatchEvalPython")) == 1
+    once = pieces.encode_documents(edge, SP, decoded="text")
+    assert once.columns == ["doc_id", "ids", "text"]
+    assert key(tuples(once)) == key(tuples(pieces.decode_column(pieces.encode_documents(edge, SP), SP)))
+    assert pieces.encode_documents(edge.limit(0), SP, decoded="text").count() == 0
