@@ -32,10 +32,10 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -208,28 +208,48 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """u32 ids of each text."""
-        firsts, rests = [], []
-        for t in texts:
+        order, parts = [], []  # texts with their own cuts come after the others
+        for i, t in enumerate(texts):
             if not t or self.added.search(t):
-                parts = [t or ""]
+                parts.append((i, [t or ""]))
             elif _RUN.search(t):
-                parts = [p if i == 0 else p[1:] for i, p in enumerate(_CUT.split(t))]
+                parts.append((i, [p if k == 0 else p[1:] for k, p in enumerate(_CUT.split(t))]))
             else:
-                parts = t.split(" ")
-            firsts.append(parts[0])
-            rests.append(parts[1:])
+                order.append(i)
+        cut = pc.split_pattern(pa.array([texts[i] for i in order], pa.large_string()), " ")
+        cut = pa.concat_arrays([cut, pa.array([p for _, p in parts], cut.type)])
+        order += [i for i, _ in parts]
+        sizes, flat = pc.list_value_length(cut).to_numpy(), cut.flatten()
+        rest = np.ones(len(flat), bool)
+        rest[np.cumsum(sizes) - sizes] = False
+        firsts = self._encode(flat.filter(pa.array(~rest)).to_pylist())
         if len(self.known) > self.max_pieces:
             self.known.clear()
-        flat = list(chain.from_iterable(rests))
-        found = list(map(self.known.get, flat))
+        # each different piece is looked up once, and its ids go to all its places at once
+        flat = flat.filter(pa.array(rest)).dictionary_encode()
+        pieces, which = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
+        found = list(map(self.known.get, pieces))
         lost = [i for i, x in enumerate(found) if x is None]
         if lost:
-            new = self._learn({flat[i] for i in lost})
+            new = self._learn({pieces[i] for i in lost})
             for i in lost:
-                found[i] = new[flat[i]]
+                found[i] = new[pieces[i]]
             self.known.update((p, x) for p, x in new.items() if len(p) <= self.max_piece)
-        ends = list(accumulate(map(len, rests)))
-        return [h + b"".join(found[b - len(r) : b]) for h, r, b in zip(self._encode(firsts), rests, ends)]
+        raw, at = _gather(found, which)
+        cuts = at[np.cumsum(np.append(0, sizes - 1))].tolist()
+        out = [b""] * len(texts)
+        for i, first, a, b in zip(order, firsts, cuts, cuts[1:]):
+            out[i] = first + raw[a:b]
+        return out
+
+
+def _gather(parts: list[bytes], which: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The parts of u32 named by ``which``, one after the other, and the bytes before each and after all."""
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    n = sizes[which]
+    at = np.concatenate([[0], np.cumsum(n)])
+    shift = (np.cumsum(sizes) - sizes)[which] - at[:-1]
+    return np.frombuffer(b"".join(parts), "<u4")[np.repeat(shift, n) + np.arange(at[-1])].tobytes(), at * 4
 
 
 def _encoder(path: str) -> PieceEncoder:
@@ -252,8 +272,8 @@ def _write(folder: str, tokenizer: str, end_id: int, width: int, file_ids: int):
             return row
 
         for b in batches:
-            for start in range(0, b.num_rows, 500):
-                some = b.slice(start, 500)
+            for start in range(0, b.num_rows, 1000):
+                some = b.slice(start, 1000)
                 enc = [x + end for x in _encoder(tokenizer).encode(some.column(1).to_pylist())]
                 docs += some.column(0).to_pylist()
                 ids += enc

@@ -753,3 +753,22 @@ def test_op9_has_one_worker_a_task(spark, edge):
     assert once.columns == ["doc_id", "ids", "text"]
     assert key(tuples(once)) == key(tuples(pieces.decode_column(pieces.encode_documents(edge, SP), SP)))
     assert pieces.encode_documents(edge.limit(0), SP, decoded="text").count() == 0
+
+
+def test_token_binary_looks_up_each_piece_once():
+    """A piece that a batch repeats is looked up once, and every text keeps its ids and place."""
+    encoder = token_binary.PieceEncoder(BPE)
+
+    class Counted(dict):
+        asked = 0
+
+        def get(self, k):
+            self.asked += 1
+            return super().get(k)
+
+    texts = ["one two two two. " * 200, None, "", " ", "  a  b ", "x\n\ny  z <|endoftext|> z", "one", "two one", "梦 é two"] * 3
+    want = [np.array(encoder.model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    for _ in range(2):
+        encoder.known = known = Counted(encoder.known)
+        assert encoder.encode(texts) == want and 0 < known.asked < 30
+    assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
