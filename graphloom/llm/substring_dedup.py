@@ -33,22 +33,22 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.hashing import WordHashes
 from graphloom.session import materialize
 
 U64 = np.uint64
 DEPTH = 64
 BELOW = (U64(1) << np.arange(64, dtype=U64)) - U64(1)
+BYTES = np.append(BELOW[:64:8], ~U64(0))  # masks of the first bytes of a block
 NO_ID = (1 << 63) - 1
-_words = WordHashes(600_000)
+EMPTY = hashlib.sha256().digest()
 
 
 def split_words(text: str | None) -> list[bytes]:
@@ -61,6 +61,69 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
+class Words:
+    """The words of several texts behind each other, and their hashes, by whole arrays.
+
+    starts and ends are their bytes in ``raw``; those of text k are borders[k] to
+    borders[k + 1]. Unlike words of 8 bytes or less and of one size have unlike hashes.
+    """
+
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+        """raw: the bytes of the texts; offsets: where each text starts, and the end."""
+        self.raw = raw.tobytes()
+        word = (raw != 32) & (raw - np.uint8(9) > 4)
+        cut = np.zeros(len(raw) + 1, bool)
+        cut[offsets] = True
+        before = np.concatenate([[False], word[:-1]]) & ~cut[:-1] if len(raw) else word
+        after = np.concatenate([word[1:], [False]]) & ~cut[1:] if len(raw) else word
+        self.starts, self.ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+        self.borders = np.searchsorted(self.starts, offsets)
+        self.hashes = self._hash(np.concatenate([raw, np.zeros(-len(raw) % 8 + 8, np.uint8)]).view("<u8"))
+        # places of words that follow the one before by other than one space
+        odd = self.starts[1:] - self.ends[:-1] != 1
+        odd[~odd] = raw[self.ends[:-1][~odd]] != 32
+        self.odd = np.concatenate([[0], np.cumsum(odd)])
+
+    def _hash(self, blocks: np.ndarray) -> np.ndarray:
+        def block(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+            k, shift = at >> 3, ((at & 7) << 3).astype(U64)
+            x = (blocks[k] >> shift) | (blocks[k + 1] << (U64(63) - shift) << U64(1))
+            return x & BYTES[np.minimum(left, 8)]
+
+        sizes = self.ends - self.starts
+        out = _pair(sizes.astype(U64), block(self.starts, sizes))
+        todo, done = np.flatnonzero((sizes > 8) & (sizes <= 64)), 8
+        while len(todo):
+            out[todo] = _pair(out[todo], block(self.starts[todo] + done, sizes[todo] - done))
+            done += 8
+            todo = todo[sizes[todo] > done]
+        for k in np.flatnonzero(sizes > 64).tolist():
+            out[k] = xxhash.xxh64_intdigest(self.raw[self.starts[k] : self.ends[k]])
+        return out
+
+    def inside(self, window: int) -> np.ndarray:
+        """Which windows lie in one text, by their first word."""
+        text = np.repeat(np.arange(len(self.borders) - 1), np.diff(self.borders))
+        return text[: max(0, len(text) - window + 1)] == text[window - 1 :]
+
+    def joined(self, first: np.ndarray, end: np.ndarray) -> Iterator[bytes]:
+        """The words from ``first`` to before ``end``, one at least, joined by one space."""
+        for s, e, odd in zip(self.starts[first].tolist(), self.ends[end - 1].tolist(), (self.odd[end - 1] > self.odd[first]).tolist()):
+            yield b" ".join(self.raw[s:e].split()) if odd else self.raw[s:e]
+
+
+def words_of(texts: pa.Array, size: int = 1 << 18) -> Iterator[tuple[int, int, Words]]:
+    """(first text, text past the last, their words), of some ``size`` bytes or one text each."""
+    texts = pc.fill_null(texts, b"" if pa.types.is_binary(texts.type) else "").cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1)
+        yield at, end, Words(raw[offsets[at] : offsets[end]], offsets[at : end + 1] - offsets[at])
+        at = end
+
+
 def gram_hashes(h: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from every place where so many are left."""
     n = len(h) - size + 1
@@ -87,24 +150,29 @@ def _slide(x: np.ndarray, size: int, f) -> np.ndarray:
     return x if step == size else f(x[: len(x) - (size - step)], x[size - step :])
 
 
-def anchors(h: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+def anchors(h: np.ndarray, window: int, gram: int, inside: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(places, hashes, first, last) of the grams that are the leftmost least of
-    some window; first and last are the outermost of those windows."""
-    if len(h) < window:
+    some window; first and last are the outermost of those windows. Of several texts
+    behind each other, ``inside`` marks the windows that lie in one text."""
+    starts = np.flatnonzero(inside) if inside is not None else np.arange(max(0, len(h) - window + 1))
+    if not len(starts):
         return np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g = gram_hashes(h, gram)
     span = window - gram + 1
     least = _slide(g, span, np.minimum)  # by window
     edge = np.zeros(span - 1, U64)
-    most = _slide(np.concatenate([edge, least, edge]), span, np.maximum)
+    most = _slide(np.concatenate([edge, least if inside is None else np.where(inside, least, U64(0)), edge]), span, np.maximum)
     at = np.flatnonzero(g == most[: len(g)])
-    which = np.searchsorted(at, np.arange(len(least)))
-    while len(off := np.flatnonzero(g[at[which]] != least)):
+    least = least[starts]
+    which = np.searchsorted(at, starts)
+    off = np.flatnonzero(g[at[which]] != least)
+    while len(off):
         which[off] += 1
+        off = off[g[at[which[off]]] != least[off]]
     # the leftmost least place never moves back from one window to the next
     first = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
     at = at[which[first]]
-    return at, g[at], first, np.append(first[1:], len(least)) - 1
+    return at, g[at], starts[first], starts[np.append(first[1:], len(starts)) - 1]
 
 
 class WaveletMatrix:
@@ -257,18 +325,24 @@ class FMIndex:
 def _scan(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, sha, hs, ps = [], [], [], []
-            for t in b.column(2).to_pylist():
-                words = split_words(t)
-                at, h, _, _ = anchors(_words.of(words), window, gram)
-                n.append(len(words))
-                sha.append(hashlib.sha256(b" ".join(words)).digest())
+            n, sha, size, hs, ps = [], [], [], [], []
+            for _, _, words in words_of(b.column(2)):
+                at, h, _, _ = anchors(words.hashes, window, gram, words.inside(window))
+                lo, hi = words.borders[:-1], words.borders[1:]
+                some = np.flatnonzero(hi > lo)
+                digests = [EMPTY] * len(lo)
+                for k, text in zip(some.tolist(), words.joined(lo[some], hi[some])):
+                    digests[k] = hashlib.sha256(text).digest()
+                found = np.diff(np.searchsorted(at, words.borders))
+                n.append(hi - lo)
+                sha += digests
+                size.append(found)
                 hs.append(h.view(np.int64))
-                ps.append(at.astype(np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(sha, pa.binary()), pa.array(hs, pa.list_(pa.int64())), pa.array(ps, pa.list_(pa.int32()))],
-                names=["id", "rid", "n_words", "sha", "h", "p"],
-            )
+                ps.append((at - np.repeat(lo, found)).astype(np.int32))
+            if sha:
+                borders = pa.array(np.cumsum(np.concatenate([[0], *size])), pa.int32())
+                lists = [pa.ListArray.from_arrays(borders, pa.array(np.concatenate(x))) for x in (hs, ps)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate(n), pa.int64()), pa.array(sha, pa.binary()), *lists], names=["id", "rid", "n_words", "sha", "h", "p"])
 
     return run
 
@@ -276,26 +350,33 @@ def _scan(window: int, gram: int):
 def _contexts(window: int, gram: int, text: bool):
     """Contexts of the marked anchors: their places, or their distinct texts."""
 
+    def found(some: pa.RecordBatch) -> Iterator[tuple]:
+        """(rows, hashes, first words, contexts with their digests) of the marked anchors."""
+        for start, end, words in words_of(some.column(2)):
+            at, h, first, last = anchors(words.hashes, window, gram, words.inside(window))
+            marks = some.column(3).slice(start, end - start)
+            row = np.repeat(np.arange(end - start), pc.list_value_length(marks).to_numpy())
+            k = np.searchsorted(at, np.sort(marks.flatten().to_numpy() + words.borders[row]))
+            raw = h[k].tobytes()
+            texts = ((x, xxhash.xxh3_128_digest(x + raw[8 * j : 8 * j + 8])) for j, x in enumerate(words.joined(first[k], last[k] + window)))
+            yield row + start, h[k].view(np.int64), first[k] - words.borders[row], texts
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 some = b.slice(start, 500)
-                out: dict = {}
-                for k, (i, rid, t, places) in enumerate(zip(*(some.column(c).to_pylist() for c in range(4)))):
-                    words = split_words(t)
-                    found = anchors(_words.of(words), window, gram)
-                    for j in np.searchsorted(found[0], np.sort(places)).tolist():
-                        p, h, lo = int(found[0][j]), int(found[1][j].view(np.int64)), int(found[2][j])
-                        ctx = b" ".join(words[lo : int(found[3][j]) + window])
-                        c = xxhash.xxh3_128_digest(ctx + h.to_bytes(8, "little", signed=True))
-                        if text:
-                            least = NO_ID if i is None else i
-                            out[c] = (h, c, ctx, min(least, out[c][3]) if c in out else least)
-                        else:
-                            out[k, p] = (c, i, rid, lo)
-                cols = list(zip(*out.values())) or [[]] * 4
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64()) if text else (pa.binary(), some.schema.types[0], pa.int64(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, kinds)], names=["h", "c", "ctx", "least"] if text else ["c", "id", "rid", "start"])
+                if text:
+                    ids = pc.fill_null(some.column(0).cast(pa.int64()), NO_ID).to_pylist()
+                    out: dict = {}
+                    for rows, h, _, texts in found(some):
+                        for k, x, (ctx, c) in zip(rows.tolist(), h.tolist(), texts):
+                            if c not in out or ids[k] < out[c][3]:
+                                out[c] = (x, c, ctx, ids[k])
+                    cols = list(zip(*out.values())) or [[]] * 4
+                    yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(cols, (pa.int64(), pa.binary(), pa.binary(), pa.int64()))], names=["h", "c", "ctx", "least"])
+                else:
+                    for rows, _, first, texts in found(some):
+                        yield pa.RecordBatch.from_arrays([pa.array([c for _, c in texts], pa.binary()), some.column(0).take(pa.array(rows)), some.column(1).take(pa.array(rows)), pa.array(first, pa.int32())], names=["c", "id", "rid", "start"])
 
     return run
 
@@ -321,13 +402,10 @@ def _windows(window: int):
 
 def least_owners(texts: list[bytes], least: list[int], window: int) -> list[np.ndarray]:
     """For each text and window the least id among texts with that window."""
-    sizes, hashes = [], []
-    for k in range(0, len(texts), 1000):
-        some = [t.split() for t in texts[k : k + 1000]]
-        sizes += map(len, some)
-        hashes.append(_words.of(list(chain.from_iterable(some))))
-    names, symbols = np.unique(np.concatenate(hashes), return_inverse=True)
-    seqs = np.split(symbols + 1, np.cumsum(sizes)[:-1])
+    words = [w for _, _, w in words_of(pa.array(texts, pa.large_binary()))]
+    names, symbols = np.unique(np.concatenate([w.hashes for w in words]), return_inverse=True)
+    seqs = np.split(symbols + 1, np.cumsum(np.concatenate([np.diff(w.borders) for w in words]))[:-1])
+    del words
     index = FMIndex(seqs, len(names) + 1)
     lengths, rows = index.matching_statistics(seqs, window)
     owners = np.array(least, np.int64)[index.owner[index.order]]

@@ -772,3 +772,34 @@ def test_token_binary_looks_up_each_piece_once():
         encoder.known = known = Counted(encoder.known)
         assert encoder.encode(texts) == want and 0 < known.asked < 30
     assert encoder.encode([]) == [] and encoder.encode([None, ""]) == [b"", b""]
+
+
+def test_substring_scan_takes_texts_together(monkeypatch):
+    """Short texts are scanned by whole arrays, and no word or window crosses from one to the next."""
+    import pyarrow as pa
+
+    draw = random.Random(8)
+    gaps = [" "] * 30 + ["  ", "\n", "\t \x0b", "\x0c\r"]
+    made = ["".join(draw.choice(["a", "b", "é", "梦", "\x08", "\x0e", "\x1f", "12345678", "123456789", "x" * 64, "x" * 65, " ", "y" * 70]) + draw.choice(gaps) for _ in range(draw.randrange(0, 60))) for _ in range(2000)]
+    made = [None, "", " ", "a", *(t.strip() if i % 2 else " " + t for i, t in enumerate(made)), None]
+    array = pa.array(["cut off", *made])[1:]
+    hashes: dict = {}
+    texts = []
+    for start, end, words in substring_dedup.words_of(array, 4000):
+        assert start == len(texts) and words.inside(9).sum() == sum(max(0, n - 8) for n in np.diff(words.borders))
+        for lo, hi in zip(words.borders, words.borders[1:]):
+            texts.append([words.raw[s:e] for s, e in zip(words.starts[lo:hi], words.ends[lo:hi])])
+            assert hi == lo or list(words.joined(np.array([lo]), np.array([hi]))) == [b" ".join(texts[-1])]
+            for w, h in zip(texts[-1], words.hashes[lo:hi].tolist()):
+                assert hashes.setdefault(w, h) == h
+    assert texts == [(t or "").encode().split() for t in made] and len(set(hashes.values())) == len(hashes)
+
+    calls, real = [], substring_dedup.anchors
+    monkeypatch.setattr(substring_dedup, "anchors", lambda *a: calls.append(1) or real(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(made))), pa.array(range(len(made))), array], names=["id", "rid", "t"])
+    (out,) = substring_dedup._scan(9, 4)(iter([batch]))
+    assert len(calls) < 20
+    for row, t in zip(out.to_pylist(), texts):
+        at, h, _, _ = real(np.array([hashes[w] for w in t], np.uint64), 9, 4)
+        assert (row["n_words"], row["sha"], row["p"]) == (len(t), hashlib.sha256(b" ".join(t)).digest(), at.tolist())
+        assert row["h"] == h.view(np.int64).tolist()
