@@ -479,14 +479,14 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, window: int, g
 
     texts = marked.mapInArrow(_contexts(window, gram, True), "h long, c binary, ctx binary, least long")
     texts = materialize(texts.groupBy("h", "c", "ctx").agg(F.min("least").alias("least")), "contexts")
+    contexts = texts.count()
     crowded = texts.groupBy("h").count().where(F.col("count") > max_contexts).select("h", F.lit(True).alias("crowded"))
-    texts = texts.join(crowded, "h", "left")
+    texts = texts.join(F.broadcast(crowded), "h", "left")  # one row for max_contexts contexts at most
     plain = texts.where("crowded is null").select(F.col("h").alias("route"), F.col("c").alias("u"), "ctx", "least")
     apart = materialize(texts.where("crowded").select("c", "ctx", "least").mapInArrow(_windows(window), "c binary, at int, route long, u binary, ctx binary, least long"), "windows")
     single = apart.groupBy("route", "u", "ctx").agg(F.min("least").alias("least"))
-    units = materialize(plain.unionByName(single), "units")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), units.count() // shard_contexts)
-    owners = materialize(units.repartition(n, "route").select("u", "ctx", "least").mapInArrow(_match(window), "u binary, owners array<long>"), "owners")
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (contexts + apart.count()) // shard_contexts)
+    owners = materialize(plain.unionByName(single).repartition(n, "route").select("u", "ctx", "least").mapInArrow(_match(window), "u binary, owners array<long>"), "owners")
 
     pieces = apart.select("c", "at", "u").join(owners.select("u", F.col("owners")[0].alias("o")), "u").groupBy("c").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "o"))), lambda x: x["o"]).alias("owners"))
     known = owners.withColumnRenamed("u", "c").join(apart.select("u").distinct().withColumnRenamed("u", "c"), "c", "left_anti").unionByName(pieces)
