@@ -166,7 +166,8 @@ class PieceEncoder:
         added = [t.content for t in self.model.get_added_tokens_decoder().values()]
         # with a normalizer, a token's string may arise from others: nothing is cut then
         self.added = re.compile("|".join(map(re.escape, added)) if self.model.normalizer is None and added else "$^" if not added else "")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # pieces met of late, and those of the time before
+        self.older: dict[str, bytes] = {}
         vocabulary = self.model.get_vocab()
         self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # tokens whose first byte is a space
         self.spaced[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
@@ -187,23 +188,12 @@ class PieceEncoder:
                 return [raw[a:b] for a, b in zip(at, at[1:])]
         return self._encode([f" {p}" for p in pieces])
 
-    def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of pieces that follow a space. A final stop or comma after a
-        letter is always a token of its own, so such pieces share their stem."""
-        stems = {p[:-1] if len(p) > 1 and p[-1] in (".", ",") and p[-2].isalpha() and p[-2] < "\u0250" else p for p in missing if p}
-        plain, other = [], []
-        for s in stems:
-            if s not in self.known:
-                (other if " " in s or s[0].isspace() or s[-1].isspace() else plain).append(s)
+    def _learn(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of pieces that follow a space."""
+        plain = [p for p in missing if p and p.strip() == p and " " not in p]
         new = dict(zip(plain, self._pieces(plain)))
-        new.update(zip(other, self._encode([f" {s}" for s in other])))
-        ends = dict(zip(".,", self._encode([".", ","])))
-        if "" in missing:
-            new[""] = self._encode([" "])[0]
-        for p in missing:
-            if p not in new:
-                s = p[:-1]
-                new[p] = (new.get(s) or self.known[s]) + ends[p[-1]]
+        other = [p for p in missing if p not in new]
+        new.update(zip(other, self._encode([f" {p}" for p in other])))
         return new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -223,18 +213,21 @@ class PieceEncoder:
         rest = np.ones(len(flat), bool)
         rest[np.cumsum(sizes) - sizes] = False
         firsts = self._encode(flat.filter(pa.array(~rest)).to_pylist())
-        if len(self.known) > self.max_pieces:
-            self.known.clear()
+        if len(self.known) > self.max_pieces // 2:
+            self.older, self.known = self.known, {}
         # each different piece is looked up once, and its ids go to all its places at once
         flat = flat.filter(pa.array(rest)).dictionary_encode()
         pieces, which = flat.dictionary.to_numpy(zero_copy_only=False).tolist(), flat.indices.to_numpy()
         found = list(map(self.known.get, pieces))
         lost = [i for i, x in enumerate(found) if x is None]
-        if lost:
-            new = self._learn({pieces[i] for i in lost})
-            for i in lost:
+        for i in lost:
+            found[i] = self.older.get(pieces[i])
+        new = self._learn([pieces[i] for i in lost if found[i] is None])
+        for i in lost:
+            if found[i] is None:
                 found[i] = new[pieces[i]]
-            self.known.update((p, x) for p, x in new.items() if len(p) <= self.max_piece)
+            if len(pieces[i]) <= self.max_piece:
+                self.known[pieces[i]] = found[i]
         raw, at = _gather(found, which)
         cuts = at[np.cumsum(np.append(0, sizes - 1))].tolist()
         out = [b""] * len(texts)

@@ -803,3 +803,15 @@ def test_substring_scan_takes_texts_together(monkeypatch):
         at, h, _, _ = real(np.array([hashes[w] for w in t], np.uint64), 9, 4)
         assert (row["n_words"], row["sha"], row["p"]) == (len(t), hashlib.sha256(b" ".join(t)).digest(), at.tolist())
         assert row["h"] == h.view(np.int64).tolist()
+
+
+def test_token_binary_keeps_recent_pieces():
+    """When the table is full, the pieces met of late stay known and are not encoded again."""
+    encoder = token_binary.PieceEncoder(BPE, max_pieces=400)
+    asked, learn = [], encoder._learn
+    encoder._learn = lambda missing: asked.extend(missing) or learn(missing)
+    for i in range(30):
+        texts = [f"w{i}x{k} usual. words, " + " ".join(f"new{i}x{k}x{j}" for j in range(10)) for k in range(5)]
+        assert encoder.encode(texts) == encoder._encode(texts)
+        assert len(encoder.known) + len(encoder.older) <= 400 + 2 * 60
+    assert asked.count("usual.") == asked.count("words,") == 1 and len(asked) > 1500
